@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import tempfile
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -78,10 +78,28 @@ def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return out.select(*df.columns, *[F.col("_s")[n].alias(n) for n in one_row.columns])
 
 
-def null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join that also matches NULL keys; key columns come from the left."""
-    right = b.select(*[F.col(x).alias(f"_r_{x}") if x in keys else F.col(x) for x in b.columns])
-    if not keys:
-        return a.join(F.broadcast(right), F.lit(True), how)  # no key: one group, so one row
-    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return a.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
+def by_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on the group keys; without keys the right side is the one row of the only group.
+
+    Plain equality keeps the partitioning of an earlier window or aggregate usable. A
+    NULL key matches nothing: as in the aggregates of the reference data model, rows
+    without an entity belong to no group.
+    """
+    if keys:
+        return a.join(b, keys, how)
+    return with_scalar(a, b)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint an expensive result that several branches of a plan read.
+
+    Uses the shared folder named in ``spark.checkpoint.dir``; a folder of our own is
+    made only where none is set and Spark runs on this machine alone.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="freshet-checkpoint-"))
+    return df.checkpoint()

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from freshet.functions.basics import c, micros, null_safe, value_block
+from freshet.functions.basics import c, micros, value_block
 
 
 def ordered(
@@ -32,8 +32,8 @@ def ordered(
     last    the same, the current row included
     follow  first non-NULL value on a later row
     running running sum, the current row included
-    ``order`` must be total (end it with a unique column) and ``block`` non-decreasing
-    along it.
+    ``order`` must be total (end it with a unique column), ``block`` non-decreasing along
+    it, and the keys set: a row without a key gets no carried values.
     """
     prev, last, follow, running = prev or {}, last or {}, follow or {}, running or {}
     base = df.withColumn("_blk", block)
@@ -82,7 +82,7 @@ def ordered(
         inner = inner.withColumn(
             f"_g{i}", F.last(f"_e{n_back + i}", True).over(wd.rowsBetween(W.unboundedPreceding, -1))
         )
-    out = null_safe(inner, slices, [*by, "_blk"])
+    out = inner.join(slices, [*by, "_blk"], "left")
     cols = [F.col(x) for x in df.columns]
     if number:
         cols.append((F.col(number) + F.col("_off")).cast("long").alias(number))
@@ -168,7 +168,7 @@ def quantiles(df: DataFrame, by: list[str], spec: dict[str, tuple[str | Column,
     for _, i, p in want:
         end = F.col("_off") + F.col("_bn")
         need = need | ((F.col("_c") == i) & (holds("_off", end, p, F.floor) | holds("_off", end, p, F.ceil)))
-    hit = null_safe(counted, hist.where(need), [*by, "_c", "_blk"])
+    hit = counted.join(hist.where(need), [*by, "_c", "_blk"])
     w = W.partitionBy(*by, "_c", "_blk").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     hit = hit.withColumn("_end", F.col("_off") + F.sum("_n").over(w)).withColumn("_start", F.col("_end") - F.col("_n"))
     aggs = []
@@ -185,18 +185,23 @@ def medians(df: DataFrame, by: list[str], **cols: str | Column) -> DataFrame:
     return quantiles(df, by, {k: (v, 0.5) for k, v in cols.items()})
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, out: str, ties: str | None = None) -> DataFrame:
-    """Average rank of ``value`` within ``by`` (NULL stays NULL), ties share the mean."""
-    counted = _counted(df, by, [F.col(value)])
-    ranked = null_safe(counted, _offsets(counted, by), [*by, "_c", "_blk"])
+def average_rank(df: DataFrame, by: list[str], ranks: dict[str, str], ties: str | None = None) -> DataFrame:
+    """Average ranks within ``by`` (NULL stays NULL), ties share their mean rank.
+
+    ``ranks`` maps output to column; all columns are counted in one pass. ``ties``
+    adds the size of the tie group of the first column.
+    """
+    counted = _counted(df, by, [F.col(v) for v in ranks.values()])
+    ranked = counted.join(_offsets(counted, by).drop("_bn", "_tot"), [*by, "_c", "_blk"])
     w = W.partitionBy(*by, "_c", "_blk").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     end = F.col("_off") + F.sum("_n").over(w)
-    extra = [F.col("_n").alias(ties)] if ties else []
-    ranked = ranked.select(
-        *by, F.col("_v"), (end - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)).alias(out), *extra
-    )
-    left = df.withColumn("_v", F.col(value).cast("double"))
-    return null_safe(left, ranked, [*by, "_v"], "left").drop("_v")
+    ranked = ranked.select(*by, "_c", "_v", "_n", (end - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)).alias("_rank"))
+    out = df
+    for i, (name, col) in enumerate(ranks.items()):
+        extra = [F.col("_n").alias(ties)] if ties and i == 0 else []
+        one = ranked.where(F.col("_c") == i).select(*by, F.col("_v").alias(f"_v{i}"), F.col("_rank").alias(name), *extra)
+        out = out.withColumn(f"_v{i}", F.col(col).cast("double")).join(one, [*by, f"_v{i}"], "left").drop(f"_v{i}")
+    return out
 
 
 def modal(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:

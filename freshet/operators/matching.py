@@ -7,7 +7,7 @@ so a long series is spread over its slices and no per-entity pair list is ever b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from freshet.functions.basics import micros
 from freshet.operators.blocks import by_time, ordered
@@ -74,15 +74,16 @@ def bracket(
         F.max(F.when(F.col("_dt") < 0, point)).alias("_b"),
         F.min(F.when(F.col("_dt") >= 0, point)).alias("_a"),
     )
-    gb, ga = -F.col("_b.d") / F.lit(1e6), F.col("_a.d") / F.lit(1e6)
-    line = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (gb / (gb + ga))
-    return g.select(
-        *keys,
-        F.coalesce(line, F.col("_b.v"), F.col("_a.v")).alias(out),
-        F.when(F.col("_b").isNotNull() & F.col("_a").isNotNull(), F.greatest(gb, ga))
-        .otherwise(F.coalesce(gb, ga))
-        .alias(gap),
-    )
+    value, gap_s = _interpolated(F.col("_b"), F.col("_a"))
+    return g.select(*keys, value.alias(out), gap_s.alias(gap))
+
+
+def _interpolated(b: Column, a: Column) -> tuple[Column, Column]:
+    """Value and reported gap from the flanking points struct<d: micros, v>."""
+    gb, ga = -b["d"] / F.lit(1e6), a["d"] / F.lit(1e6)
+    line = b["v"] + (a["v"] - b["v"]) * (gb / (gb + ga))
+    gap = F.when(b.isNotNull() & a.isNotNull(), F.greatest(gb, ga)).otherwise(F.coalesce(gb, ga))
+    return F.coalesce(line, b["v"], a["v"]), gap
 
 
 def nearest(
@@ -134,6 +135,34 @@ def last_known(
     )
 
 
+def _window_aggs(cond: Column | None = None) -> list[Column]:
+    """Window statistics over pair rows that carry ``_v``, ``_rt`` and first time ``_t0``."""
+    on = lambda x: x if cond is None else F.when(cond, x)
+    v = on(F.col("_v"))
+    x = on(F.floor((F.col("_rt") - F.col("_t0")) / F.lit(1e6)).cast("double"))
+    return [
+        F.avg(v).alias("window_mean"), F.min(v).alias("window_min"), F.max(v).alias("window_max"),
+        F.stddev_pop(v).alias("window_std"), F.count(v).alias("window_count"),
+        F.var_pop(x).alias("_vx"), F.covar_pop(x, v).alias("_cxy"),
+    ]
+
+
+def _slope(short: Column) -> Column:
+    """OLS slope from the sums; ``short`` is what fewer than two readings give, no spread gives 0."""
+    return (
+        F.when(F.col("window_count") < 2, short)
+        .when(F.col("_vx") == 0, F.lit(0.0))
+        .otherwise(F.col("_cxy") / F.nullif(F.col("_vx"), F.lit(0.0)))
+    )
+
+
+def _first_time(pairs: DataFrame, keys: list[str], cond: Column | None = None) -> DataFrame:
+    """First reading time of each sample's window; a sample's own pairs are few, so this is
+    a small window, and the aggregate after it reuses its partitioning."""
+    t = F.col("_rt") if cond is None else F.when(cond, F.col("_rt"))
+    return pairs.withColumn("_t0", F.min(t).over(W.partitionBy(*keys)))
+
+
 def window_stats(
     samples: DataFrame,
     readings: DataFrame,
@@ -143,50 +172,64 @@ def window_stats(
     r_time: str,
     r_value: str,
     half_s: float,
+    short_slope: float | None = 0.0,
 ) -> DataFrame:
     """Mean, min, max, population std, range, count and OLS slope in +-half_s.
 
-    Slope time is whole elapsed seconds since the first reading of the window; one
-    reading or no spread gives 0.
+    Slope time is whole elapsed seconds since the first reading of the window; no
+    spread gives 0, fewer than two readings give ``short_slope``.
     """
     rd = readings.where(F.col(r_value).isNotNull()).select(*by, F.col(r_time).alias("_t"), F.col(r_value).alias("_v"))
-    p = band_pairs(samples.select(*keys), rd, by, s_time, "_t", half_s, half_s)
-    first = p.groupBy(*keys).agg(
-        F.min("_rt").alias("_t0"),
-        F.avg("_v").alias("window_mean"),
-        F.min("_v").alias("window_min"),
-        F.max("_v").alias("window_max"),
-        F.stddev_pop("_v").alias("window_std"),
-        F.count("_v").alias("window_count"),
-    )
-    sl = slope_in_window(p, keys)
-    return first.join(sl, keys).select(
-        *keys,
-        "window_mean",
-        "window_min",
-        "window_max",
-        "window_std",
-        (F.col("window_max") - F.col("window_min")).alias("window_range"),
-        "window_count",
-        F.coalesce("slope", F.lit(0.0)).alias("window_slope"),
+    p = _first_time(band_pairs(samples.select(*keys), rd, by, s_time, "_t", half_s, half_s), keys)
+    return p.groupBy(*keys).agg(*_window_aggs()).select(
+        *keys, "window_mean", "window_min", "window_max", "window_std",
+        (F.col("window_max") - F.col("window_min")).alias("window_range"), "window_count",
+        _slope(F.lit(short_slope).cast("double")).alias("window_slope"),
     )
 
 
-def slope_in_window(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """OLS slope per sample over whole elapsed seconds, NULL below two readings."""
-    t0 = pairs.groupBy(*keys).agg(F.min("_rt").alias("_t0"))
-    q = pairs.join(t0, keys).withColumn("_x", F.floor((F.col("_rt") - F.col("_t0")) / F.lit(1e6)).cast("double"))
-    g = q.groupBy(*keys).agg(
-        F.count("_v").alias("_n"),
-        F.var_pop("_x").alias("_vx"),
-        F.covar_pop("_x", "_v").alias("_cxy"),
-    )
+def align_wide(
+    samples: DataFrame,
+    series: DataFrame,
+    site: str,
+    keys: list[str],
+    s_time: str,
+    main: str,
+    sensors: dict[str, str],
+    tol_s: float,
+    half_s: float,
+) -> DataFrame:
+    """Everything the sensors saw around each sample, from one pass over the series.
+
+    ``series`` holds all parameters as (site, pcode, time, value). The main parameter
+    gives the bracketed value, its gap and the window statistics; every other one its
+    bracketed value. Samples without a main match are dropped.
+    """
+    codes = F.array(*[F.lit(x) for x in [main, *sensors]])
+    s = samples.select(*keys).withColumn("pcode", F.explode(codes))
+    rd = series.where(F.col("value").isNotNull()).select(site, "pcode", F.col("time").alias("_t"), F.col("value").alias("_v"))
+    reach = max(tol_s, half_s)
+    is_main, tol, half = F.col("pcode") == main, int(tol_s * 1e6), int(half_s * 1e6)
+    p = band_pairs(s, rd, [site, "pcode"], s_time, "_t", reach, reach).where(is_main | (F.abs("_dt") <= tol))
+    inside = is_main & (F.abs("_dt") <= half)
+    p = _first_time(p, keys, inside)
+    point = F.struct(F.col("_dt").alias("d"), F.col("_v").alias("v"))
+    aggs = _window_aggs(inside)
+    names = [main, *sensors]
+    for i, code in enumerate(names):
+        near = (F.col("pcode") == code) & (F.abs("_dt") <= tol)
+        aggs += [
+            F.max(F.when(near & (F.col("_dt") < 0), point)).alias(f"_b{i}"),
+            F.min(F.when(near & (F.col("_dt") >= 0), point)).alias(f"_a{i}"),
+        ]
+    g = p.groupBy(*keys).agg(*aggs).where(F.col("_b0").isNotNull() | F.col("_a0").isNotNull())
+    value, gap = zip(*[_interpolated(F.col(f"_b{i}"), F.col(f"_a{i}")) for i in range(len(names))])
     return g.select(
-        *keys,
-        F.when(F.col("_n") < 2, F.lit(None).cast("double"))
-        .when(F.col("_vx") == 0, F.lit(0.0))
-        .otherwise(F.col("_cxy") / F.nullif(F.col("_vx"), F.lit(0.0)))
-        .alias("slope"),
+        *keys, value[0].alias("sensor_instant"), gap[0].alias("match_gap_seconds"),
+        "window_mean", "window_min", "window_max", "window_std",
+        (F.col("window_max") - F.col("window_min")).alias("window_range"), "window_count",
+        F.when(F.col("window_count") > 0, _slope(F.lit(0.0))).alias("window_slope"),
+        *[value[i + 1].alias(n) for i, n in enumerate(sensors.values())],
     )
 
 

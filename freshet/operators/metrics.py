@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import c, null_safe, ratio
+from freshet.functions.basics import by_keys, c, ratio
 from freshet.operators.blocks import average_rank, quantiles
 
 TINY = 1e-10
@@ -99,7 +99,7 @@ def site_skill(df: DataFrame, by: list[str], y: str, p: str, names: list[str]) -
 def spearman(df: DataFrame, by: list[str], y: str, p: str, out: str = "spearman_rho") -> DataFrame:
     """Correlation of average ranks, NULL without spread."""
     d = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*by, F.col(y).alias("_y"), F.col(p).alias("_p"))
-    d = average_rank(average_rank(d, by, "_y", "_ry"), by, "_p", "_rp")
+    d = average_rank(d, by, {"_ry": "_y", "_rp": "_p"})
     g = d.groupBy(*by).agg(
         F.covar_pop("_ry", "_rp").alias("_cv"), (F.stddev_pop("_ry") * F.stddev_pop("_rp")).alias("_sd"), F.count("*").alias("_n")
     )
@@ -116,7 +116,7 @@ def full_report(df: DataFrame, by: list[str], y: str, p: str) -> DataFrame:
         by, {"mape_pct": ("_ape", 0.5), "median_abs_error": ("_ae", 0.5)},
     )
     s = spearman(df, by, y, p)
-    return reduce(lambda x, z: null_safe(x, z, by, "left"), [m, s], a)
+    return reduce(lambda x, z: by_keys(x, z, by, "left"), [m, s], a)
 
 
 def guarded_corr(x: str | Column, y: str | Column) -> Column:
@@ -138,7 +138,7 @@ def flow_strata(df: DataFrame, site: str, y: str, p: str, flow: str, qs: tuple[f
 def histogram(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
     """Equal-width counts between each group's own extremes."""
     lim = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    d = null_safe(df, lim, by)
+    d = by_keys(df, lim, by)
     pos = F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)
     return (
         d.withColumn("bin", F.least(F.coalesce(pos, F.lit(0)), F.lit(bins - 1)).cast("int"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions import normalize as N
 from freshet.functions.basics import micros
-from freshet.operators.blocks import by_time, medians, modal, ordered, quantiles
+from freshet.operators.blocks import medians, modal, ordered, quantiles
 
 # fixed values: hours dropped after the end of a flagged episode
 BUFFER_HOURS = {"ICE": 48, "MAINT": 4}
@@ -24,6 +24,22 @@ def bad_qualifier(col: str = "qualifier") -> Column:
     return F.arrays_overlap(N.qualifier_codes(col), codes)
 
 
+def episode_ends(df: DataFrame, by: list[str], t: str, uid: str, qualifier: str, hours: dict[str, float], gap_s: float) -> DataFrame:
+    """(by, end, until) of every flagged episode: its last row has no flagged row of the
+    same code within the gap after it. Only flagged rows are shuffled."""
+    up = F.upper(F.coalesce(F.col(qualifier), F.lit("")))
+    codes = F.array(*[
+        F.when(up.contains(x), F.struct(F.lit(x).alias("code"), F.lit(int(h * 3_600_000_000)).alias("keep_out")))
+        for x, h in hours.items()
+    ])
+    flagged = df.select(*by, uid, micros(t).alias("_t"), F.explode(F.filter(codes, lambda x: x.isNotNull())).alias("_f"))
+    flagged = flagged.select(*by, uid, "_t", F.col("_f.code").alias("_code"), F.col("_f.keep_out").alias("_w"))
+    nxt = ordered(flagged, [*by, "_code"], ["_t", uid], F.floor(F.col("_t") / F.lit(30 * 86_400_000_000)), follow={"_n": F.col("_t")})
+    return nxt.where(F.col("_n").isNull() | (F.col("_n") - F.col("_t") > int(gap_s * 1e6))).select(
+        *by, F.col("_t").alias("end"), (F.col("_t") + F.col("_w")).alias("until")
+    )
+
+
 def flag_buffer(
     df: DataFrame,
     by: list[str],
@@ -32,39 +48,25 @@ def flag_buffer(
     qualifier: str = "qualifier",
     hours: dict[str, float] | None = None,
     gap_s: float = EPISODE_GAP_S,
-    slice_s: float = 30 * 86_400,
     out: str = "in_buffer",
 ) -> DataFrame:
-    """Mark rows in (end, end + buffer] of any flagged episode of each code.
+    """Mark rows in (end, end + buffer] of any flagged episode.
 
-    ``df`` holds every approved row, flagged ones included. An episode ends where the
-    next flagged row is more than ``gap_s`` later. The latest flagged row before a row
-    lies in the last started episode; it is that episode's end when the row itself
-    lies more than the gap behind it or no flagged row follows within the gap.
-    Earlier episodes end earlier, so testing the last finished one is enough.
+    ``df`` holds every approved row, flagged ones included. Buffers are listed per time
+    slice as wide as the longest buffer; episodes are at least a gap apart, so a list
+    is short. Each reading then meets one list: a left equi-join, no window over the
+    whole series.
     """
     hours = hours or BUFFER_HOURS
-    up = F.upper(F.coalesce(F.col(qualifier), F.lit("")))
-    d = df.withColumn("_t", micros(t))
-    names = list(hours)
-    d = ordered(
-        d, by, ["_t", uid], by_time(t, slice_s),
-        follow={f"_n{i}": F.when(up.contains(x), F.col("_t")) for i, x in enumerate(names)},
+    width = F.lit(int(max(hours.values()) * 3_600_000_000))
+    ends = episode_ends(df, by, t, uid, qualifier, hours, gap_s).distinct()
+    lists = (
+        ends.withColumn("_slice", F.explode(F.sequence(F.floor(F.col("end") / width), F.floor(F.col("until") / width))))
+        .groupBy(*by, "_slice").agg(F.collect_list(F.struct("end", "until")).alias("_buf"))
     )
-    gap = int(gap_s * 1e6)
-    ends = {
-        f"_e{i}": F.when(
-            up.contains(x) & (F.col(f"_n{i}").isNull() | (F.col(f"_n{i}") - F.col("_t") > gap)), F.col("_t")
-        )
-        for i, x in enumerate(names)
-    }
-    # a row at the very time of an episode end is not behind it; ends are compared strictly
-    d = ordered(d, by, ["_t", uid], by_time(t, slice_s), prev={k: v for k, v in ends.items()})
-    hit = F.lit(False)
-    for i, x in enumerate(names):
-        lag = F.col("_t") - F.col(f"_e{i}")
-        hit = hit | F.coalesce((lag > 0) & (lag <= int(hours[x] * 3_600_000_000)), F.lit(False))
-    return d.withColumn(out, hit).drop("_t", *[f"_n{i}" for i in range(len(names))], *ends)
+    d = df.withColumn("_t", micros(t)).withColumn("_slice", F.floor(F.col("_t") / width))
+    hit = F.exists("_buf", lambda x: (F.col("_t") > x["end"]) & (F.col("_t") <= x["until"]))
+    return d.join(lists, [*by, "_slice"], "left").select(*df.columns, F.coalesce(hit, F.lit(False)).alias(out))
 
 
 def in_range(col: str = "value", lo: float = -0.01, hi: float = 100_000.0) -> Column:

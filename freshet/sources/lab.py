@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 # fixed values: export column -> internal column, both dialects
 DIALECT = {
@@ -29,5 +29,19 @@ def require(df: DataFrame, cols: list[str]) -> DataFrame:
     return df
 
 
-def drop_unusable(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.dropna(subset=cols).where(F.lit(True))
+def parse_lab(
+    raw: DataFrame, site: str, limits: list[str], default: float, drop_contaminated: bool = False
+) -> DataFrame:
+    """Raw lab strings to (site, time, value, is_nondetect, method, pos), one row per time.
+
+    Rows without a usable clock time or zone are dropped, never guessed.
+    """
+    from freshet.functions import normalize as N
+    from freshet.operators import dedup, qc
+
+    d = raw.where(~N.contaminated("condition")) if drop_contaminated else raw
+    d = d.withColumn("time", N.to_utc("start_date", "start_time", "start_tz")).where("time is not null")
+    d = d.withColumn("value", N.number("measure")).withColumn("method", N.collection_method("equipment"))
+    d = qc.substitute_nondetects(d, site, "value", limits, "condition", default)
+    d = d.where("value >= 0").select(site, "time", "value", "is_nondetect", "method", "org", "pos")
+    return dedup.resolve_conflicts(d, [site, "time"], "value", "org", "pos").drop("org", "n_copies", "was_conflict")
