@@ -73,9 +73,9 @@ def clean(df: DataFrame) -> DataFrame:
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate as a scalar subquery."""
-    s = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
-    out = df.withColumn("_s", s)
-    return out.select(*df.columns, *[F.col("_s")[n].alias(n) for n in one_row.columns])
+    s = one_row.select(F.struct(*one_row.columns).alias("_scalar_row")).scalar()
+    out = df.withColumn("_scalar_row", s)
+    return out.select(*df.columns, *[F.col("_scalar_row")[n].alias(n) for n in one_row.columns])
 
 
 def by_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from freshet.functions.basics import draw, micros, with_scalar
+from freshet.functions.basics import draw, micros, value_block, with_scalar
 from freshet.operators.blocks import by_time, ordered, quantiles
 
 
@@ -62,11 +62,9 @@ def group_shuffle(df: DataFrame, site: str, seed: int | str, share: float = 0.85
 
 
 def balanced_folds(df: DataFrame, site: str, target: str, folds: int = 5) -> DataFrame:
-    """Sites in order of their median target, dealt round-robin into folds."""
-    from freshet.functions.basics import value_block
-
-    med = quantiles(df, [site], {"med": (target, 0.5)})
-    num = ordered(med, [], ["med", site], value_block("med"), number="_rn")
+    """Sites by falling median target, dealt round-robin into folds."""
+    med = quantiles(df, [site], {"med": (target, 0.5)}).withColumn("_neg", -F.col("med"))
+    num = ordered(med, [], ["_neg", site], value_block("_neg"), number="_rn")
     return num.select(site, "med", F.pmod(F.col("_rn") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
@@ -75,6 +73,73 @@ def stratified_holdout(sites: DataFrame, site: str, stratum: str, n: str, seed:
     (at least ``min_hold``, leaving one for training)."""
     d = sites.withColumn("_big", F.col(n) >= min_n)
     num = number_entities(d.where("_big"), site, seed, out="_rn", total="_m", by=[stratum])
-    target = F.least(F.greatest(F.ceil(F.col("_m") * F.lit(share)), F.lit(min_hold)), F.col("_m") - 1)
+    target = F.least(F.greatest(F.floor(F.col("_m") * F.lit(share)), F.lit(min_hold)), F.col("_m") - 1)
     big = num.withColumn("role", F.when(F.col("_rn") <= target, "holdout").otherwise("training")).drop("_rn", "_m")
     return big.unionByName(d.where("not _big").withColumn("role", F.lit("holdout"))).drop("_big")
+
+
+def extreme_split(sites: DataFrame, site: str, state: str, n: str, extreme: str, share: float = 0.25) -> DataFrame:
+    """Vault: the two sites with most extreme rows (one if only one has two or more).
+    Holdout: the largest remaining site of each state, states in order, up to a share."""
+    cand = sites.where(F.col(extreme) >= 2).orderBy(F.desc(extreme), site).limit(2).select(site, F.lit("vault").alias("_v"))
+    d = sites.join(cand, site, "left")
+    rest = d.where("_v is null")
+    best = rest.groupBy(state).agg(F.min(F.struct((-F.col(n)).alias("n"), F.col(site).alias("s")))["s"].alias(site))
+    goal = rest.agg(F.greatest(F.lit(1), F.round(F.count("*") * F.lit(share))).alias("_goal"))
+    # one row per state: the list of states is a fixed dimension
+    w = W.partitionBy(F.lit(0)).orderBy(state)
+    held = with_scalar(best.withColumn("_rn", F.row_number().over(w)), goal).where(F.col("_rn") <= F.col("_goal"))
+    out = d.join(held.select(site, F.lit("holdout").alias("_h")), site, "left")
+    return out.withColumn("role", F.coalesce("_v", "_h", F.lit("training"))).drop("_v", "_h")
+
+
+def random_subsets(sites: DataFrame, site: str, seeds: list[int], k: int) -> DataFrame:
+    """k sites per seed in md5 order; the per-seed limit is applied before the shuffle."""
+    d = sites.select(site).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    w = W.partitionBy("seed").orderBy(draw("seed", site), site)
+    return d.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
+
+
+def proportional_subsets(sites: DataFrame, site: str, stratum: str, seeds: list[int], k: int) -> DataFrame:
+    """Per seed: each stratum gives its share of k (at least one), trimmed to k in md5 order."""
+    d = sites.select(site, stratum).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    num = number_in(d, ["seed", stratum], ["seed", site], site)
+    total = sites.agg(F.count("*").alias("_all"))
+    take = F.least(F.greatest(F.lit(1), F.round(F.col("_m") * F.lit(float(k)) / F.col("_all"))), F.col("_m"))
+    picked = with_scalar(num, total).where(F.col("_rn") <= take).select("seed", site, stratum)
+    w = W.partitionBy("seed").orderBy(draw(F.lit("trim"), "seed", site), site)
+    return picked.withColumn("_t", F.row_number().over(w)).where(F.col("_t") <= k).drop("_t")
+
+
+def number_in(df: DataFrame, by: list[str], keys: list, uid: str) -> DataFrame:
+    """Number rows per group in md5 order of the keys: ``_rn`` of ``_m``."""
+    d = df.withColumn("_d", draw(*keys))
+    return ordered(d, by, ["_d", uid], F.floor(F.col("_d") / F.lit(1 << 22)), number="_rn", total="_m").drop("_d")
+
+
+def stratified_sites(profile: DataFrame, site: str, spread: str, level: str, method: str, k: int, seed: int) -> DataFrame:
+    """Sites sampled per (spread tercile, level tercile, method) in proportion to the stratum."""
+    from freshet.functions.transforms import quantile_bins
+
+    d = quantile_bins(quantile_bins(profile, spread, ["low", "mid", "high"], "_sb"), level, ["low", "mid", "high"], "_lb")
+    d = d.withColumn("stratum", F.concat_ws("/", "_sb", "_lb", method)).select(site, "stratum")
+    num = number_in(d, ["stratum"], [F.lit(str(seed)), site], site)
+    total = profile.agg(F.count("*").alias("_all"))
+    take = F.least(F.greatest(F.lit(1), F.round(F.col("_m") * F.lit(float(k)) / F.col("_all"))), F.col("_m"))
+    picked = with_scalar(num, total).where(F.col("_rn") <= take).select(site, "stratum")
+    return picked.orderBy(draw(F.lit(str(seed)), F.lit("trim"), site), site).limit(k)
+
+
+def covering_sites(df: DataFrame, site: str, cats: list[str], k: int) -> DataFrame:
+    """First site (in order) of every categorical value, then the first others up to k."""
+    pairs = F.array(*[F.struct(F.lit(x).alias("col"), F.col(x).cast("string").alias("val")) for x in cats])
+    firsts = df.select(site, F.inline(pairs)).where("val is not null").groupBy("col", "val").agg(F.min(site).alias(site))
+    must = firsts.select(site).distinct().withColumn("why", F.lit(0))
+    every = df.select(site).distinct().withColumn("why", F.lit(1))
+    # the values to cover may outnumber k; padding only fills what is left of k
+    ranked = must.unionByName(every).groupBy(site).agg(F.min("why").alias("why"))
+    n_must = must.agg(F.count("*").alias("_n"))
+    pad = ranked.where("why = 1").orderBy(site).limit(k)
+    w = W.partitionBy(F.lit(0)).orderBy(site)
+    pad = with_scalar(pad.withColumn("_rn", F.row_number().over(w)), n_must).where(F.col("_rn") <= k - F.col("_n"))
+    return ranked.where("why = 0").select(site, F.lit("cover").alias("reason")).unionByName(pad.select(site, F.lit("pad").alias("reason")))

@@ -63,7 +63,7 @@ VIEWS: dict[str, str] = {
         group by c_custkey // 10""",
     "v_pred": """select o_custkey // 10 as site, o_orderkey as oid, o_orderdate as time, o_totalprice / 1000 as y,
         o_totalprice / 1000 * (0.6::double + 0.08::double * (o_orderkey % 11)) as p,
-        o_totalprice / 1000 * (0.5::double + 0.1::double * (o_orderkey % 7)) as turb,
+        o_totalprice / 1000 * (0.53::double + 0.1::double * (o_orderkey % 7)) as turb,
         cast(10 + o_orderkey * 37 % 500 as double) as flow,
         case o_orderkey % 3 when 0 then 'auto_point' when 1 then 'depth_integrated' else 'grab' end as method,
         case o_orderkey % 5 when 0 then 'exo' when 1 then 'ysi' else 'unknown' end as family,
@@ -172,7 +172,7 @@ class Testbed:
         return self.table("orders").selectExpr(
             "o_custkey div 10 as site", "o_orderkey as oid", "o_orderdate as time", "o_totalprice / 1000 as y",
             "o_totalprice / 1000 * (0.6D + 0.08D * (o_orderkey % 11)) as p",
-            "o_totalprice / 1000 * (0.5D + 0.1D * (o_orderkey % 7)) as turb",
+            "o_totalprice / 1000 * (0.53D + 0.1D * (o_orderkey % 7)) as turb",
             "cast(10 + o_orderkey * 37 % 500 as double) as flow",
             "case o_orderkey % 3 when 0 then 'auto_point' when 1 then 'depth_integrated' else 'grab' end as method",
             "case o_orderkey % 5 when 0 then 'exo' when 1 then 'ysi' else 'unknown' end as family",
