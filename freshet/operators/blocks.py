@@ -9,6 +9,8 @@ the table: its work spreads over its slices.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from freshet.functions.basics import c, micros, value_block
@@ -139,16 +141,19 @@ def _offsets(counted: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def quantiles(df: DataFrame, by: list[str], spec: dict[str, tuple[str | Column, float]]) -> DataFrame:
+def quantiles(
+    df: DataFrame, by: list[str], spec: dict[str, tuple[str | Column, float | Callable[[Column], Column]]]
+) -> DataFrame:
     """Exact linear-interpolated quantiles, one row per group.
 
     Values are counted per group first, a histogram of value slices finds the few
     slices that hold the wanted positions, and only those slices are sorted. No task
-    sees a whole group. ``spec`` maps an output name to (column, probability).
+    sees a whole group. ``spec`` maps an output name to (column, probability); the
+    probability may be a function of the group's count.
     """
     order: list[Column] = []
     seen: dict[str, int] = {}
-    want: list[tuple[str, int, float]] = []
+    want: list[tuple] = []
     for name, (col, p) in spec.items():
         k = col if isinstance(col, str) else str(col)
         if k not in seen:
@@ -158,10 +163,11 @@ def quantiles(df: DataFrame, by: list[str], spec: dict[str, tuple[str | Column,
     counted = _counted(df, by, order)
     hist = _offsets(counted, by)
 
-    def pos(p: float) -> Column:
-        return F.lit(float(p)) * (F.col("_tot") - 1)
+    def pos(p: float | Callable[[Column], Column]) -> Column:
+        level = p(F.col("_tot")) if callable(p) else F.lit(float(p))
+        return level * (F.col("_tot") - 1)
 
-    def holds(lo: str | Column, hi: str | Column, p: float, fn) -> Column:
+    def holds(lo: str | Column, hi: str | Column, p: float | Callable[[Column], Column], fn) -> Column:
         return (fn(pos(p)) >= c(lo)) & (fn(pos(p)) < c(hi))
 
     need = F.lit(False)
