@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 DAY = 86_400
 HOUR = 3_600
@@ -90,16 +91,32 @@ def by_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") ->
     return with_scalar(a, b)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint an expensive result that several branches of a plan read.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and scratch tables that all executors reach.
 
-    Uses the shared folder named in ``spark.checkpoint.dir``; a folder of our own is
-    made only where none is set and Spark runs on this machine alone.
+    Named by ``spark.checkpoint.dir``; a folder of our own is made only where none is
+    set and Spark runs on this machine alone.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="freshet-checkpoint-"))
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-"))
+    return sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; never reused, so retries cannot collide."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint an expensive result that several branches of a plan read."""
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
