@@ -63,9 +63,18 @@ def expand(sql: str, extra: dict[str, str] | None = None) -> str:
     return _calls(_calls(head + body, "R", _round), "DRAW", _draw)
 
 
+def _open(spark: SparkSession, sf_dir: str) -> Testbed:
+    # queries are built from many small expressions; capturing a call site for each one
+    # costs more than planning, so it is switched off
+    key = "spark.python.sql.dataFrameDebugging.enabled"
+    if spark.conf.get(key, "true") == "true":
+        spark.conf.set(key, "false")
+    return Testbed(spark, sf_dir)
+
+
 def query(name: str, sql: str | None = None, views: dict[str, str] | None = None):
     def deco(fn: Callable[[Testbed], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(Testbed(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(_open(spark, sf_dir))
         if sql is not None:
             ORACLE[name] = expand(sql, views)
         return fn

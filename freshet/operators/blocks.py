@@ -125,6 +125,9 @@ def _counted(df: DataFrame, by: list[str], values: list[Column]) -> DataFrame:
         .groupBy(*by, "_c", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_blk", value_block("_v"))
+        # the joins on the slice infer this; saying it here keeps both uses of the counts
+        # identical, so their exchange is computed once
+        .where(F.col("_blk").isNotNull())
     )
 
 
@@ -170,21 +173,35 @@ def quantiles(
     def holds(lo: str | Column, hi: str | Column, p: float | Callable[[Column], Column], fn) -> Column:
         return (fn(pos(p)) >= c(lo)) & (fn(pos(p)) < c(hi))
 
-    need = F.lit(False)
-    for _, i, p in want:
+    # every slice keeps the positions it holds; a slice without one is not read again
+    def wanted(name: str, i: int, p) -> Column:
         end = F.col("_off") + F.col("_bn")
-        need = need | ((F.col("_c") == i) & (holds("_off", end, p, F.floor) | holds("_off", end, p, F.ceil)))
-    hit = counted.join(hist.where(need), [*by, "_c", "_blk"])
+        here = (F.col("_c") == i) & (holds("_off", end, p, F.floor) | holds("_off", end, p, F.ceil))
+        return F.when(here, F.struct(F.lit(name).alias("name"), pos(p).cast("double").alias("at")))
+
+    asked = F.filter(F.array(*[wanted(*w) for w in want]), lambda x: x.isNotNull())
+    hit = counted.join(
+        hist.withColumn("_want", asked).where(F.size("_want") > 0).select(*by, "_c", "_blk", "_off", "_want"), [*by, "_c", "_blk"]
+    )
     w = W.partitionBy(*by, "_c", "_blk").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     hit = hit.withColumn("_end", F.col("_off") + F.sum("_n").over(w)).withColumn("_start", F.col("_end") - F.col("_n"))
-    aggs = []
-    for name, i, p in want:
-        mine = F.col("_c") == i
-        lo = F.max(F.when(mine & holds("_start", "_end", p, F.floor), F.col("_v")))
-        hi = F.max(F.when(mine & holds("_start", "_end", p, F.ceil), F.col("_v")))
-        frac = F.max(F.when(mine, pos(p) - F.floor(pos(p))))
-        aggs.append((lo + (hi - lo) * frac).alias(name))
-    return hit.groupBy(*by).agg(*aggs)
+    at = hit.select(*by, "_v", "_start", "_end", F.explode("_want").alias("_q"))
+    inside = lambda fn: (fn(F.col("_q.at")) >= F.col("_start")) & (fn(F.col("_q.at")) < F.col("_end"))
+    at = at.where(inside(F.floor) | inside(F.ceil))
+    if len(want) <= 3:
+        aggs = []
+        for name, _, _ in want:
+            mine = F.col("_q.name") == name
+            lo, hi = F.max(F.when(mine & inside(F.floor), F.col("_v"))), F.max(F.when(mine & inside(F.ceil), F.col("_v")))
+            pt = F.max(F.when(mine, F.col("_q.at")))
+            aggs.append((lo + (hi - lo) * (pt - F.floor(pt))).alias(name))
+        return at.groupBy(*by).agg(*aggs)
+    each = at.groupBy(*by, F.col("_q.name").alias("_name")).agg(
+        F.max(F.when(inside(F.floor), F.col("_v"))).alias("_lo"), F.max(F.when(inside(F.ceil), F.col("_v"))).alias("_hi"), F.max("_q.at").alias("_at")
+    )
+    v = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
+    each = each.select(*by, "_name", v.alias("_x"))
+    return each.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name, _, _ in want])
 
 
 def medians(df: DataFrame, by: list[str], **cols: str | Column) -> DataFrame:

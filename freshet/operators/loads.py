@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import by_keys, c, clip
+from freshet.functions.basics import by_keys, c, clip, settle
 from freshet.operators import metrics as M
 from freshet.operators.blocks import quantiles
 
@@ -91,6 +91,7 @@ def timescales(df: DataFrame, site: str, t: str, obs: str, pred: str) -> DataFra
 def compare(daily_loads: DataFrame, site: str, day: str, ref: str, methods: list[str], month_share: float = 0.8, year_days: int = 292) -> DataFrame:
     """Report per site, scale (daily, transport, monthly, annual) and method."""
     cols = [ref, *methods]
+    daily_loads = settle(daily_loads.select(site, day, *cols))
     d = daily_loads.select(site, *cols)
     scales = {
         "daily": d, "transport": d.where(F.col(ref) >= 1.0),
@@ -99,4 +100,5 @@ def compare(daily_loads: DataFrame, site: str, day: str, ref: str, methods: list
     }
     u = reduce(lambda a, b: a.unionByName(b), [x.withColumn("scale", F.lit(n)) for n, x in scales.items()])
     pairs = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("pred")) for m in methods])
-    return load_metrics(u.select(site, "scale", F.col(ref).alias("ref"), F.inline(pairs)), [site, "scale", "method"], "ref", "pred")
+    long = settle(u.select(site, "scale", F.col(ref).alias("ref"), F.inline(pairs)))  # sums, medians and ranks each read it
+    return load_metrics(long, [site, "scale", "method"], "ref", "pred")

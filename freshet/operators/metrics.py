@@ -40,14 +40,24 @@ def log_sums(y: str | Column, p: str | Column, shift: float = 0.0, prefix: str =
     ]
 
 
-def _c(name: str) -> Column:
-    return F.col("_" + name)
+def _c(name: str, prefix: str = "_") -> Column:
+    return F.col(prefix + name)
 
 
 def r2() -> Column:
     return 1 - _c("sse") / _floor(_c("vy") * _c("n"))
 
 
+def report_from(prefix: str) -> dict[str, Column]:
+    """R2, RMSE and slope from sums taken under another column prefix."""
+    c_ = lambda n: _c(n, prefix)
+    return {
+        "r2": 1 - c_("sse") / _floor(c_("vy") * c_("n")),
+        "rmse": F.sqrt(c_("sse") / F.nullif(c_("n"), F.lit(0))),
+        "slope": F.when(c_("vy") > 0, c_("cov") / F.nullif(c_("vy"), F.lit(0.0))),
+    }
+
+
 def kge_parts() -> tuple[Column, Column, Column]:
     r = _c("cov") / F.nullif(F.sqrt(_c("vy")) * F.sqrt(_c("vp")), F.lit(0.0))
     return r, F.sqrt(_c("vp")) / _floor(F.sqrt(_c("vy"))), _c("mp") / _floor(_c("my"))

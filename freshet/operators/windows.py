@@ -46,13 +46,16 @@ def rain_features(daily: DataFrame, site: str, day: str, rain: str, wet: float =
     return d.withColumn("days_since_rain", (F.col("_rn") - last).cast("double")).drop("_rn")
 
 
+MIN_SLICE_ROWS = 4096
+
+
 def halo(df: DataFrame, by: list[str], idx: str, before: int, after: int) -> tuple[DataFrame, W]:
     """Copy each row to the slices whose core needs it; returns the frame and its window.
 
-    ``idx`` counts rows without holes. Slices are four times as long as the reach, so a
-    row has two copies at most and a long series spreads over its slices.
+    ``idx`` counts rows without holes. Slices are at least eight times as long as the
+    reach, so few rows are copied, and a long series still spreads over its slices.
     """
-    size = 4 * max(before, after, 1)
+    size = max(8 * max(before, after), MIN_SLICE_ROWS)
     s = F.lit(size)
     d = df.withColumn("_hb", F.explode(F.sequence(F.floor((F.col(idx) - after) / s), F.floor((F.col(idx) + before) / s))))
     d = d.withColumn("_core", F.col("_hb") == F.floor(F.col(idx) / s))
