@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 DAY = 86_400
 HOUR = 3_600
@@ -73,10 +73,19 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def with_scalar(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate as a scalar subquery."""
-    s = one_row.select(F.struct(*one_row.columns).alias("_scalar_row")).scalar()
-    out = df.withColumn("_scalar_row", s)
-    return out.select(*df.columns, *[F.col("_scalar_row")[n].alias(n) for n in one_row.columns])
+    """Attach the columns of a one-row aggregate (means, thresholds, counts).
+
+    Plain values are read once - one row, whatever the size of the data - and become
+    literals: the aggregate runs a single time however often its columns are used, and
+    filters on them reach the scan. Arrays and structs go in as a scalar subquery.
+    """
+    if any(isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)) for f in one_row.schema.fields):
+        s = one_row.select(F.struct(*one_row.columns).alias("_scalar_row")).scalar()
+        out = df.withColumn("_scalar_row", s)
+        return out.select(*df.columns, *[F.col("_scalar_row")[n].alias(n) for n in one_row.columns])
+    row = one_row.first()
+    cols = [F.lit(None if row is None else row[f.name]).cast(f.dataType).alias(f.name) for f in one_row.schema.fields]
+    return df.select(*df.columns, *cols)
 
 
 def by_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
