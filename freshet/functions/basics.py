@@ -38,6 +38,8 @@ def value_block(v: str | Column, per_octave: int = 512) -> Column:
 def r(x: str | Column, digits: int = 4) -> Column:
     """Round with a threshold off the half, so short decimals never tie."""
     s = float(10**digits)
+    if isinstance(x, str):
+        return F.expr(f"floor(`{x}` * {s!r}D + 0.4873D) / {s!r}D")
     return F.floor(c(x) * F.lit(s) + F.lit(0.4873)) / F.lit(s)
 
 

@@ -166,42 +166,33 @@ def quantiles(
     counted = _counted(df, by, order)
     hist = _offsets(counted, by)
 
-    def pos(p: float | Callable[[Column], Column]) -> Column:
-        level = p(F.col("_tot")) if callable(p) else F.lit(float(p))
-        return level * (F.col("_tot") - 1)
-
-    def holds(lo: str | Column, hi: str | Column, p: float | Callable[[Column], Column], fn) -> Column:
-        return (fn(pos(p)) >= c(lo)) & (fn(pos(p)) < c(hi))
-
-    # every slice keeps the positions it holds; a slice without one is not read again
-    def wanted(name: str, i: int, p) -> Column:
-        end = F.col("_off") + F.col("_bn")
-        here = (F.col("_c") == i) & (holds("_off", end, p, F.floor) | holds("_off", end, p, F.ceil))
-        return F.when(here, F.struct(F.lit(name).alias("name"), pos(p).cast("double").alias("at")))
-
-    asked = F.filter(F.array(*[wanted(*w) for w in want]), lambda x: x.isNotNull())
-    hit = counted.join(
-        hist.withColumn("_want", asked).where(F.size("_want") > 0).select(*by, "_c", "_blk", "_off", "_want"), [*by, "_c", "_blk"]
-    )
+    # every slice keeps the positions it holds; a slice without one is not read again.
+    # The conditions are written as SQL text: one expression per quantile, not dozens of calls.
+    asked = []
+    for k, (name, i, p) in enumerate(want):
+        if callable(p):
+            hist = hist.withColumn(f"_lv{k}", p(F.col("_tot")).cast("double"))
+        at = f"({f'_lv{k}' if callable(p) else f'{float(p)!r}D'} * (_tot - 1))"
+        here = " or ".join(f"({fn}{at} >= _off and {fn}{at} < _off + _bn)" for fn in ("floor", "ceil"))
+        asked.append(f"case when _c = {i} and ({here}) then named_struct('name', '{name}', 'at', {at}) end")
+    hist = hist.withColumn("_want", F.expr(f"filter(array({', '.join(asked)}), x -> x is not null)")).where("size(_want) > 0")
+    hit = counted.join(hist.select(*by, "_c", "_blk", "_off", "_want"), [*by, "_c", "_blk"])
     w = W.partitionBy(*by, "_c", "_blk").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    hit = hit.withColumn("_end", F.col("_off") + F.sum("_n").over(w)).withColumn("_start", F.col("_end") - F.col("_n"))
-    at = hit.select(*by, "_v", "_start", "_end", F.explode("_want").alias("_q"))
-    inside = lambda fn: (fn(F.col("_q.at")) >= F.col("_start")) & (fn(F.col("_q.at")) < F.col("_end"))
-    at = at.where(inside(F.floor) | inside(F.ceil))
+    hit = hit.withColumn("_end", F.col("_off") + F.sum("_n").over(w))
+    at = hit.selectExpr(*[f"`{x}`" for x in by], "_v", "_end - _n as _start", "_end", "inline(_want) as (_name, _at)")
+    low, high = "floor(_at) >= _start and floor(_at) < _end", "ceil(_at) >= _start and ceil(_at) < _end"
+    at = at.where(f"({low}) or ({high})")
+    names = [name for name, _, _ in want]
     if len(want) <= 3:
         aggs = []
-        for name, _, _ in want:
-            mine = F.col("_q.name") == name
-            lo, hi = F.max(F.when(mine & inside(F.floor), F.col("_v"))), F.max(F.when(mine & inside(F.ceil), F.col("_v")))
-            pt = F.max(F.when(mine, F.col("_q.at")))
-            aggs.append((lo + (hi - lo) * (pt - F.floor(pt))).alias(name))
+        for n in names:
+            lo, hi = (f"max(case when _name = '{n}' and {c_} then _v end)" for c_ in (low, high))
+            pt = f"max(case when _name = '{n}' then _at end)"
+            aggs.append(F.expr(f"{lo} + ({hi} - {lo}) * ({pt} - floor({pt}))").alias(n))
         return at.groupBy(*by).agg(*aggs)
-    each = at.groupBy(*by, F.col("_q.name").alias("_name")).agg(
-        F.max(F.when(inside(F.floor), F.col("_v"))).alias("_lo"), F.max(F.when(inside(F.ceil), F.col("_v"))).alias("_hi"), F.max("_q.at").alias("_at")
-    )
-    v = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_at") - F.floor("_at"))
-    each = each.select(*by, "_name", v.alias("_x"))
-    return each.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col("_x"))).alias(name) for name, _, _ in want])
+    each = at.groupBy(*by, "_name").agg(F.expr(f"max(case when {low} then _v end) as _lo"), F.expr(f"max(case when {high} then _v end) as _hi"), F.max("_at").alias("_at"))
+    each = each.selectExpr(*[f"`{x}`" for x in by], "_name", "_lo + (_hi - _lo) * (_at - floor(_at)) as _x")
+    return each.groupBy(*by).agg(*[F.expr(f"max(case when _name = '{n}' then _x end)").alias(n) for n in names])
 
 
 def medians(df: DataFrame, by: list[str], **cols: str | Column) -> DataFrame:
