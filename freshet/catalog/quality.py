@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from freshet.catalog.joins import rsel
 from freshet.catalog.registry import query
 from freshet.functions import normalize as N, transforms as X
 from freshet.functions.basics import r

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from freshet.catalog.joins import rsel
-from freshet.catalog.metrics import BOOT, KGE, R2
+from freshet.catalog.metrics import BOOT, R2
 from freshet.catalog.registry import query
 from freshet.functions.basics import r, ratio, with_scalar
 from freshet.operators import metrics as M, sampling as S, trials as T
-from freshet.operators.blocks import medians, quantiles
+from freshet.operators.blocks import medians
 
 PROF = {"v_prof": """select s.site, s.region, s.nation, n, n_big, std, med, method from v_sites s join (select site, count(*) as n, count(*) filter (y > 480) as n_big,
       stddev_samp(y) as std, quantile_cont(y, 0.5) as med from v_pred group by site) p using (site)

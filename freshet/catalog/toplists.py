@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from freshet.catalog.joins import rsel
 from freshet.catalog.metrics import R2
 from freshet.catalog.regression import CC, CMP, usgs_compare

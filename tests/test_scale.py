@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.catalog import QUERIES
-from freshet.functions.basics import value_block
 from freshet.operators import events as E, windows as WN
 from freshet.operators.blocks import average_rank, keep_first, ordered, quantiles
 
