@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import simhash
-from freshet.llm.common import documents
+from freshet.llm import bpe, language, mixing, shards, simhash, token_counts
+from freshet.llm.common import documents, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,3 +22,45 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after two edits of each document: its first 40 characters replace 20 in the middle, then 10 go after a quarter."""
+    n = F.char_length("text")
+    edits = F.array(
+        F.struct((n / 2).cast("int").alias("start"), (n / 2 + 20).cast("int").alias("stop"), F.substring("text", 1, 40).alias("insert")),
+        F.struct((n / 4).cast("int").alias("start"), (n / 4 + 10).cast("int").alias("stop"), F.lit("").alias("insert")),
+    )
+    state = token_counts.build(documents(spark, sf_dir).select("doc_id", "text"))
+    state = state.withColumn("n_tokens", F.element_at("sums", 2)).withColumn("edits", edits)
+    done = token_counts.update(state, "edits")
+    return done.select("doc_id", "n_tokens", F.element_at("sums", 2).alias("edited_n_tokens"), F.size("leaf_chars").alias("n_leaves"), "encoded_chars", F.sha2("text", 256).alias("edited_sha256"))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kept(documents(spark, sf_dir).select("doc_id", "source", mixing.sizes().alias("size")), "sizes")
+    mixed = mixing.mix(rows, ["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+
+
+@query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(data) + 16).cast("bigint").alias("size"), F.crc32(data).alias("text_crc32"))
+    placed = shards.with_slots(shards.assign(rows, "doc_id", 40), "shard", ["doc_id", "text_crc32", "size"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return bpe.decode(encoded).select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", language.held_out("doc_id").alias("held_out"))
+    model = language.fit(docs.where(~F.col("held_out")), "text", "lang", "doc_id")
+    return language.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
