@@ -15,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import ahocorasick
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -40,12 +41,12 @@ class Vocabulary:
     def __init__(self, data: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x)}
         self.tokens = {i: t for t, i in self.ranks.items()}
-        #: Tokens and their proper prefixes; -1 stands for a prefix that is no token.
-        self.stems: dict[bytes, int] = {}
+        self.longest = max(map(len, self.ranks))
+        #: Finds all tokens that end at a byte, the longest first.
+        self.found = ahocorasick.Automaton()
         for t, i in self.ranks.items():
-            for stop in range(1, len(t)):
-                self.stems.setdefault(t[:stop], -1)
-            self.stems[t] = i
+            self.found.add_word(t.decode("latin-1"), (i, len(t)))
+        self.found.make_automaton()
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, bool] = {}
 
@@ -70,12 +71,9 @@ class Vocabulary:
         seam could have merged before the one undone was formed, the pair is not stable; at
         equal ranks the merge further left comes first.
         """
-        key = left << 32 | right
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            got = self.pairs[key] = self._fits(left, right)
+        if len(self.pairs) >= MEMO:
+            self.pairs.clear()
+        got = self.pairs[left << 32 | right] = self._fits(left, right)
         return got
 
     def _fits(self, x: int, y: int) -> bool:
@@ -95,17 +93,23 @@ class Vocabulary:
 
     def extend(self, piece: bytes, last: list[int]) -> list[int]:
         """Add to the table of a prefix of ``piece`` the entries of its further bytes."""
-        stems, fits, old, n = self.stems.get, self.fits, len(last), len(piece)
-        last += [-1] * (n - old)
-        for start in range(n):
-            if start:
-                before = last[start - 1]
-            for stop in range(start + 1, n + 1):
-                token = stems(piece[start:stop])
-                if token is None:
-                    break
-                if token >= 0 and stop > old and last[stop - 1] < 0 and (not start or fits(before, token)):
-                    last[stop - 1] = token
+        old = len(last)
+        skip = max(0, old - self.longest)
+        last += [-1] * (len(piece) - old)
+        pairs, fits = self.pairs.get, self.fits
+        for at, (token, size) in self.found.iter(piece[skip:].decode("latin-1")):
+            stop = skip + at
+            if last[stop] < 0:
+                start = stop - size
+                if start >= 0:
+                    before = last[start]
+                    good = pairs(before << 32 | token)
+                    if good is None:
+                        good = fits(before, token)
+                    if good:
+                        last[stop] = token
+                else:
+                    last[stop] = token
         if -1 in last:
             raise ValueError("a byte has no token")
         return last

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe, language, mixing, shards, simhash, token_counts
+from freshet.llm import bpe, fingerprints, language, mixing, shards, simhash, token_counts
 from freshet.llm.common import documents, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", language.held_out("doc_id").alias("held_out"))
     model = language.fit(docs.where(~F.col("held_out")), "text", "lang", "doc_id")
     return language.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(documents(spark, sf_dir))
