@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe, fingerprints, language, mixing, shards, simhash, token_counts
+from freshet.llm import bpe, fingerprints, language, licenses, line_dedup, mixing, shards, simhash, token_counts
 from freshet.llm.common import documents, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,39 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(documents(spark, sf_dir))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    return done.select("doc_id", "n_lines", "n_kept", F.char_length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"), licenses.templates(spark))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+ORACLE["op4_license_scan"] = """
+with known(template, license, body) as (values {values}),
+tw as (select template, license, string_split(trim(regexp_replace(lower(body), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') w from known),
+tb as (select template, license, len(w) - 1 size, w[i] || ' ' || w[i + 1] bigram, count(*) c from tw, unnest(range(1, len(w))) r(i) group by all),
+d as (select row_number() over () rw, doc_id, text from documents where text is not null),
+u as (
+  select rw, doc_id, 'line' unit, i - 1 as pos, string_split(text, chr(10))[i] raw from d, unnest(range(1, len(string_split(text, chr(10))) + 1)) r(i)
+  union all
+  select rw, doc_id, 'paragraph', i - 1, p[i] from (select rw, doc_id, regexp_split_to_array(text, '\\n\\s*\\n') p from d), unnest(range(1, len(p) + 1)) r(i) where contains(p[i], chr(10))
+  union all
+  select rw, doc_id, 'text', 0, text from d where len(regexp_split_to_array(text, '\\n\\s*\\n')) > 1),
+uw as (select rw, doc_id, unit, pos, string_split(trim(regexp_replace(lower(raw), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') w from u),
+ub as (select rw, doc_id, unit, pos, len(w) - 1 n, w[i] || ' ' || w[i + 1] bigram, count(*) c from uw, unnest(range(1, len(w))) r(i) group by all),
+s as (
+  select rw, doc_id, unit, pos, template, license, 2.0::double * sum(least(ub.c, tb.c)) / (n + size) dice
+  from ub join tb using (bigram) group by rw, doc_id, unit, pos, n, template, license, size)
+select doc_id, unit, cast(pos as int) as pos, license, cast(dice as double) dice from s where dice >= 0.8
+qualify row_number() over (partition by rw, unit, pos order by dice desc, template) = 1
+""".replace("{values}", ", ".join(f"({i}, {_quoted(a)}, {_quoted(t)})" for i, (a, t) in enumerate(licenses.TEMPLATES))).replace("{{", "{").replace("}}", "}")
