@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe, fingerprints, language, licenses, line_dedup, mixing, shards, simhash, token_counts
+from freshet.llm import bpe, fingerprints, language, licenses, line_dedup, mixing, shards, simhash, token_counts, vector_join
 from freshet.llm.common import documents, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,23 @@ s as (
 select doc_id, unit, cast(pos as int) as pos, license, cast(dice as double) dice from s where dice >= 0.8
 qualify row_number() over (partition by rw, unit, pos order by dice desc, template) = 1
 """.replace("{values}", ", ".join(f"({i}, {_quoted(a)}, {_quoted(t)})" for i, (a, t) in enumerate(licenses.TEMPLATES))).replace("{{", "{").replace("}}", "}")
+
+
+@query
+def op3_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_copies(documents(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op3_vector_join"] = """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) e from embeddings where embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as (
+  select a.vec_id a, b.vec_id b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.95),
+reach(a, b) as (select a, b from l union select reach.a, l.b from reach join l on reach.b = l.a),
+least as (select a, min(b) m from reach group by a),
+n as (select a, count(*) n from l group by a)
+select vec_id, cast(coalesce(n, 0) as bigint) n_links, least(vec_id, coalesce(m, vec_id)) component_id, least(vec_id, coalesce(m, vec_id)) = vec_id kept
+from embeddings left join n on n.a = vec_id left join least on least.a = vec_id
+"""
