@@ -114,9 +114,11 @@ def _near(x: np.ndarray, y: np.ndarray, rx: np.ndarray, ry: np.ndarray, block: i
     i, j = np.nonzero(square <= budget(dim, cut, threshold) + 1e-5)
     good = []
     for k in range(0, len(i), 1 << 16):
-        p, q = x[i[k : k + (1 << 16)]], y[j[k : k + (1 << 16)]]
+        at, to = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        p, q, gap = x[at], y[to], rx[at, cut] - ry[to, cut]
         dot = np.einsum("ij,ij->i", p, q)
-        good.append(dot / (np.sqrt(np.einsum("ij,ij->i", p, p)) * np.sqrt(np.einsum("ij,ij->i", q, q))) >= threshold)
+        cosine = dot / (np.sqrt(np.einsum("ij,ij->i", p, p)) * np.sqrt(np.einsum("ij,ij->i", q, q)))
+        good.append((cosine >= threshold) & (np.einsum("ij,ij->i", gap, gap) <= budget(dim, cut, threshold)))
     keep = np.concatenate(good) if good else np.zeros(0, bool)
     return i[keep], j[keep]
 
