@@ -13,7 +13,7 @@ import functools
 import itertools
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import public_tokenizers
@@ -25,7 +25,7 @@ from freshet.llm.common import batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of the memo tables of a Python worker; a full table starts anew.
-MEMO = 400_000
+MEMO = 250_000
 #: Pieces of a text that are held at once.
 HELD = 100_000
 
@@ -127,18 +127,20 @@ class Vocabulary:
         return [whole] if whole is not None else self.walk(self.extend(piece, []))
 
 
-class Packed(dict):
-    """Memo of a piece's ids as little-endian unsigned 32-bit integers."""
+class Memo(dict):
+    """Results by piece of text. A full table becomes the old one, from which what is met again is taken over."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, make: Callable[[str], object], most: int = MEMO):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO:
+    def __missing__(self, piece: str):
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        ids = self.vocabulary.piece(piece.encode())
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.old.get(piece)
+        if out is None:
+            out = self.make(piece)
         if len(piece) <= 64:
             self[piece] = out
         return out
@@ -150,7 +152,13 @@ class Encoder:
     def __init__(self, data: bytes, pattern: str):
         self.vocabulary = Vocabulary(data)
         self.pattern = regex.compile(pattern)
-        self.packed = Packed(self.vocabulary)
+        self.packed = Memo(self._pack)
+        self.counts = Memo(lambda piece: len(self.vocabulary.piece(piece.encode())))
+
+    def _pack(self, piece: str) -> bytes:
+        """Ids of a piece as little-endian unsigned 32-bit integers."""
+        ids = self.vocabulary.piece(piece.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= 8 * HELD:
@@ -167,9 +175,6 @@ class Encoder:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
 
-    def tokens(self, piece: str) -> int:
-        return len(self.packed[piece]) // 4
-
     def edit(self, text: str, ids: bytes, start: int, stop: int, insert: str) -> tuple[str, bytes, int]:
         """Replace ``text[start:stop]``; the new text, its ids, and how many characters were encoded again.
 

@@ -9,11 +9,11 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from freshet.llm.bpe import RANKS, Encoder, encoder, shipped, texts
+from freshet.llm.bpe import HELD, RANKS, Encoder, encoder, shipped, texts
 from freshet.llm.common import batches
 
 #: Pre-tokens in one leaf.
-LEAF = 32
+LEAF = 16
 
 
 class CountTree:
@@ -64,18 +64,17 @@ class CountTree:
 def leaves(enc: Encoder, text: str) -> tuple[list[int], list[int]]:
     """Characters and tokens of each run of ``LEAF`` pre-tokens."""
     chars, tokens, held = [], [], []
-    get = enc.packed.__getitem__
     for part in enc.pieces(text):
-        held += part
-        whole = len(held) // LEAF * LEAF
-        for i in range(0, whole, LEAF):
-            run = held[i : i + LEAF]
-            chars.append(len("".join(run)))
-            tokens.append(len(b"".join(map(get, run))) // 4)
+        held = held + part if held else part
+        whole = len(held) // LEAF * LEAF if len(part) >= HELD else len(held)
+        if whole:
+            now, starts = held[:whole] if whole < len(held) else held, range(0, whole, LEAF)
+            chars += np.add.reduceat(np.fromiter(map(len, now), np.int64, whole), starts).tolist()
+            tokens += np.add.reduceat(np.fromiter(map(enc.counts.__getitem__, now), np.int64, whole), starts).tolist()
         held = held[whole:]
     if held:
-        chars.append(len("".join(held)))
-        tokens.append(len(b"".join(map(get, held))) // 4)
+        chars.append(sum(map(len, held)))
+        tokens.append(sum(map(enc.counts.__getitem__, held)))
     return chars, tokens
 
 
@@ -100,7 +99,7 @@ def apply_edit(enc: Encoder, text: str, tree: CountTree, start: int, stop: int,
     last = len(tree.chars)
     for m in enc.pattern.finditer(new, begin):
         piece = m.group()
-        size, count, n, at = size + len(piece), count + enc.tokens(piece), n + 1, m.end()
+        size, count, n, at = size + len(piece), count + enc.counts[piece], n + 1, m.end()
         met = at >= edge and at in after
         if n == LEAF or met:
             chars.append(size)
