@@ -89,7 +89,7 @@ def tilts(cells: DataFrame, wanted: DataFrame, most: int = MOST, rounds: int = 6
         done = F.col("value").isNull() | (F.col("miss") <= TOLERANCE)
         stepped = stepped.withColumn("tilt", F.when(done, F.col("tilt")).when(good, newton).otherwise(inside))
         now = settle(stepped.select(*now.columns))
-    return now.select("sid", "tilt", "scale", "full")
+    return now.select("sid", F.round("tilt", 9).alias("tilt"), "scale", "full")  # sums in another order agree on these digits
 
 
 def _rounded(cells: DataFrame, wanted: DataFrame, most: int, mends: int = 3) -> DataFrame:
