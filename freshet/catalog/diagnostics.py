@@ -29,8 +29,8 @@ DV = {"v_st": "select site, stddev_samp(y) as sd, count(*) as ns from v_pred gro
       "v_sq4": "select quantile_cont(sd, 0.25) as a, quantile_cont(sd, 0.5) as b, quantile_cont(sd, 0.75) as c from v_st",
       "v_var": "select site, ns, case when sd <= a then 'Q1_low' when sd <= b then 'Q2_med' when sd <= c then 'Q3_high' else 'Q4_extreme' end as var from v_st, v_sq4",
       "v_long": f"""select y, p, unnest(['overall', 'method', 'region', 'family', 'geology', 'variability', 'sample_count', 'turb_tier', 'conc_tier']) as dimension,
-        unnest(['ALL', method, region, family, cast(geol as varchar), var, {BINR('ns', [0, 10, 20, 50, 200, 99999], ['1-10', '11-20', '21-50', '51-200', '200+'])},
-          {BINR('turb', [0, 10, 50, 200, 1000, 999999], ['<10', '10-50', '50-200', '200-1000', '>1000'])}, {BINR('y', [0, 50, 500, 5000, 999999], ['low', 'med', 'high', 'extreme'])}]) as "group"
+        unnest(['ALL', method, region, family, cast(geol as varchar), var, {BINR('ns', [0, 10, 20, 50, 200, 1e300], ['1-10', '11-20', '21-50', '51-200', '200+'])},
+          {BINR('turb', [0, 10, 50, 200, 1000, 1e300], ['<10', '10-50', '50-200', '200-1000', '>1000'])}, {BINR('y', [0, 50, 500, 5000, 1e300], ['low', 'med', 'high', 'extreme'])}]) as "group"
         from v_pred left join v_sites using (site) left join v_var using (site)"""}
 
 
@@ -125,9 +125,9 @@ def attr(t):
 
 
 @query("dia_importance", """select feature, R(avg(a)) as mean_abs, case when feature in ('turbidity_instant', 'discharge_instant') then 'sensor' else 'weather' end as category from v_att
-    group by feature order by mean_abs desc limit 3""", AV)
+    group by feature""", AV)
 def _(t):
-    return D.importance(attr(t), ATT, 3).select("feature", *rsel("mean_abs"), "category")
+    return D.importance(attr(t), ATT).select("feature", *rsel("mean_abs"), "category")
 
 
 REG = "case when turb < 10 then '<10' when turb < 50 then '10-50' when turb < 200 then '50-200' when turb < 1000 then '200-1000' else '>1000' end"

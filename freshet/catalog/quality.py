@@ -48,10 +48,17 @@ def _(t):
     return Q.leakage(t.pred, split, "site")
 
 
-@query("dq_hash", """select count(*) as n_rows, sum(('0x' || substr(h, 1, 8))::bigint)::bigint as hash_a, sum(('0x' || substr(h, 9, 8))::bigint)::bigint as hash_b from
-    (select md5(coalesce(cast(event_id as varchar), '~') || '|' || coalesce(pcode, '~') || '|' || coalesce(qualifier, '~') || '|' || coalesce(cast(floor(value * 1e6 + 0.5)::bigint as varchar), '~')) as h from v_obs)""")
+def _marked(x: str) -> str:
+    return f"coalesce(length({x}) || ':' || {x}, '~')"
+
+
+HASHED = ["approval_status", "cast(event_id as varchar)", "cast(k as varchar)", "pcode", "qualifier", "cast(site as varchar)", "cast(epoch_us(time) as varchar)", "cast(cast(round(value * 1e8) as bigint) as varchar)"]
+
+
+@query("dq_hash", f"""select count(*) as n_rows, sum(('0x' || substr(h, 1, 8))::bigint)::bigint as hash_a, sum(('0x' || substr(h, 9, 8))::bigint)::bigint as hash_b from
+    (select md5({" || '|' || ".join(_marked(x) for x in HASHED)}) as h from v_obs)""")
 def _(t):
-    return Q.table_hash(t.obs.select("value", "pcode", "event_id", "qualifier"))
+    return Q.table_hash(t.obs.select("approval_status", "event_id", "k", "pcode", "qualifier", "site", "time", "value"))
 
 
 @query("dq_golden", """select count(*) as n, R(max(abs(p - round(p * 8) / 8)), 3) as max_diff, 0 as n_missing, 0 as n_extra, max(abs(p - round(p * 8) / 8)) <= 0.07 as passed from v_pred""")

@@ -116,18 +116,19 @@ def _(t):
 
 SUF = {**{k: v for k, v in BOOT.items() if k in ("v_num", "v_r2", "v_draws")},
        "v_r2": f"""select site, {R2()} as r2, count(*) as c, sum(y) as sy, sum(p) as sp, sum(y * y) as syy, sum(p * p) as spp, sum(y * p) as syp,
-         sum(ln(y)) as l1, sum(ln(y) * ln(y)) as l2, sum(pow(ln(y) - ln(p), 2)) as lse, quantile_cont(abs(y - p) / y * 100, 0.5) as mape,
-         (select 1) as one from v_pred group by site""",
+         sum(ln(y)) as l1, sum(ln(y) * ln(y)) as l2, sum(pow(ln(y) - ln(p), 2)) as lse, avg(abs(y - p) / y * 100) as mape,
+         corr(ry, rp) as rho from (select *, rank() over (partition by site order by y) + (count(*) over (partition by site, y) - 1) / 2.0 as ry,
+         rank() over (partition by site order by p) + (count(*) over (partition by site, p) - 1) / 2.0 as rp from v_pred) group by site""",
        "v_num": "select *, row_number() over (order by DRAW('42', site), site) as idx, count(*) over () as n_all from v_r2",
        "v_pick": "select d.rep, v.* from v_draws d join v_num v on d.pick = v.idx",
-       "v_uni": "select distinct rep, site, r2, mape, c from v_pick",
+       "v_uni": "select distinct rep, site, r2, mape, rho, c from v_pick",
        "v_boot": """select rep, 1 - (sum(syy) - 2 * sum(syp) + sum(spp)) / (sum(syy) - sum(sy) * sum(sy) / sum(c)) as nse,
           1 - sum(lse) / (sum(l2) - sum(l1) * sum(l1) / sum(c)) as log_nse,
           1 - sqrt(pow((sum(syp) - sum(sy) * sum(sp) / sum(c)) / sqrt((sum(syy) - sum(sy) * sum(sy) / sum(c)) * (sum(spp) - sum(sp) * sum(sp) / sum(c))) - 1, 2)
             + pow(sqrt((sum(spp) - sum(sp) * sum(sp) / sum(c)) / (sum(syy) - sum(sy) * sum(sy) / sum(c))) - 1, 2) + pow(sum(sp) / sum(sy) - 1, 2)) as kge from v_pick group by rep""",
-       "v_bmed": """select rep, quantile_cont(r2, 0.5) as med_r2, quantile_cont(mape, 0.5) as med_mape, sum(r2 * c) / sum(c) as mean_r2, avg(case when r2 > 0 then 1.0 else 0.0 end) as frac_gt0,
+       "v_bmed": """select rep, quantile_cont(r2, 0.5) as med_r2, quantile_cont(mape, 0.5) as med_mape, quantile_cont(rho, 0.5) as med_rho, sum(r2 * c) / sum(c) as mean_r2, avg(case when r2 > 0 then 1.0 else 0.0 end) as frac_gt0,
           avg(case when r2 > 0.8 then 1.0 else 0.0 end) as frac_hi from v_uni group by rep"""}
-BOOTC = ["nse", "log_nse", "kge", "med_r2", "med_mape", "mean_r2", "frac_gt0", "frac_hi"]
+BOOTC = ["nse", "log_nse", "kge", "med_r2", "med_mape", "med_rho", "mean_r2", "frac_gt0", "frac_hi"]
 
 
 @query("smp_bootstrap_sites", "select " + ", ".join(f"R(quantile_cont({c}, 0.025)) as {c}_lo, R(quantile_cont({c}, 0.975)) as {c}_hi" for c in BOOTC)

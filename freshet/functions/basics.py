@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -36,11 +35,13 @@ def value_block(v: str | Column, per_octave: int = 512) -> Column:
 
 
 def r(x: str | Column, digits: int = 4) -> Column:
-    """Round with a threshold off the half, so short decimals never tie."""
+    """Round with a threshold off the half, so short decimals never tie.
+
+    Values that have no such digits (beyond 2^53 units of the last one) and NaN come back as they are.
+    """
     s = float(10**digits)
-    if isinstance(x, str):
-        return F.expr(f"floor(`{x}` * {s!r}D + 0.4873D) / {s!r}D")
-    return F.floor(c(x) * F.lit(s) + F.lit(0.4873)) / F.lit(s)
+    v = c(x).cast("double")
+    return F.when(F.abs(v) < F.lit(float(1 << 53) / s), F.floor(v * F.lit(s) + F.lit(0.4873)) / F.lit(s)).otherwise(v)
 
 
 def ratio(a: str | Column, b: str | Column) -> Column:
@@ -105,8 +106,8 @@ def by_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and scratch tables that all executors reach.
 
-    Named by ``spark.checkpoint.dir``; a folder of our own is made only where none is
-    set and Spark runs on this machine alone.
+    Named by ``spark.checkpoint.dir``. Only where none is set and Spark runs on this machine
+    alone, a folder under the warehouse is taken.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -115,7 +116,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="freshet-"))
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        sc.setCheckpointDir(f"{warehouse}/_checkpoints/{sc.applicationId}")
     return sc.getCheckpointDir()
 
 

@@ -89,7 +89,7 @@ def batch_approval(cd: str | Column) -> Column:
 def batch_qualifier(cd: str | Column) -> Column:
     """Everything after the first comma of a batch code column."""
     parts = F.transform(F.split(c(cd), ","), lambda x: F.trim(x))
-    rest = F.filter(F.slice(parts, 2, 1000), lambda x: x != "")
+    rest = F.filter(parts, lambda x, i: (i > 0) & (x != ""))
     return F.nullif(F.array_join(rest, ", "), F.lit(""))
 
 
@@ -99,15 +99,23 @@ def qualifier_codes(raw: str | Column) -> Column:
     return F.filter(F.split(F.trim(bare), " "), lambda x: (x != "") & (x != "NONE") & (x != "NAN"))
 
 
+#: Forms of a local time: seconds may be missing or have a fraction, and dates may have slashes.
+LOCAL_FORMS = ["yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyy-MM-dd H:mm", "yyyy/MM/dd H:mm[:ss]", "M/d/yyyy H:mm[:ss]", "yyyyMMdd HHmm"]
+
+
+def local_time(date: str, clock: str) -> Column:
+    """Date and time text in any of the known forms; NULL without a time of day or in another form."""
+    joined = F.concat_ws(" ", F.trim(date), F.nullif(F.trim(clock), F.lit("")))
+    return F.coalesce(*[F.try_to_timestamp(joined, F.lit(x)) for x in LOCAL_FORMS])
+
+
 def to_utc(date: str, clock: str, zone: str | Column) -> Column:
     """Local date and time text plus zone abbreviation to UTC, NULL if unusable."""
-    local = F.try_to_timestamp(F.concat_ws(" ", F.col(date), F.nullif(F.col(clock), F.lit(""))), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return shift_hours(local, lookup(TZ_HOURS, zone))
+    return shift_hours(local_time(date, clock), lookup(TZ_HOURS, zone))
 
 
 def to_utc_state(date: str, clock: str, state: str) -> Column:
-    local = F.try_to_timestamp(F.concat_ws(" ", F.col(date), F.nullif(F.col(clock), F.lit(""))), F.lit("yyyy-MM-dd HH:mm:ss"))
-    return shift_hours(local, F.coalesce(lookup(STATE_HOURS, state), F.lit(STATE_DEFAULT_HOURS)))
+    return shift_hours(local_time(date, clock), F.coalesce(lookup(STATE_HOURS, state), F.lit(STATE_DEFAULT_HOURS)))
 
 
 def shift_hours(local: Column, hours: Column) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from freshet.functions.basics import settle
 from freshet.operators import metrics as M
-from freshet.operators.blocks import quantiles
+from freshet.operators.blocks import average_rank, quantiles
 from freshet.operators.sampling import bootstrap_draws
 
 
 def site_sums(df: DataFrame, site: str, y: str, p: str) -> DataFrame:
-    """One row per site: everything a pooled metric needs, plus the site's own R2 and median APE."""
+    """One row per site: everything a pooled metric needs, plus the site's own R2, mean APE and rank correlation."""
     a, b = F.col(y), F.col(p)
     pos = (a > 0) & (b > 0)
     la, lb = F.when(pos, F.ln(a)), F.when(pos, F.ln(b))
@@ -20,9 +20,12 @@ def site_sums(df: DataFrame, site: str, y: str, p: str) -> DataFrame:
         F.sum(b * b).alias("spp"), F.sum(a * b).alias("syp"), F.count(la).alias("lc"), F.sum(la).alias("l1"), F.sum(la * la).alias("l2"),
         F.sum((la - lb) * (la - lb)).alias("lse"),
     )
-    g = g.withColumn("r2", M._report()["nse"]).select(site, "r2", "c", "sy", "sp", "syy", "spp", "syp", "lc", "l1", "l2", "lse")
     ape = F.when(a > 0, F.abs(a - b) / F.nullif(a, F.lit(0.0)) * 100)
-    return g.join(quantiles(df.select(site, ape.alias("_a")), [site], {"mape": ("_a", 0.5)}), site, "left")
+    own = df.groupBy(site).agg(F.avg(ape).alias("mape"))
+    g = g.withColumn("r2", M._report()["nse"]).select(site, "r2", "c", "sy", "sp", "syy", "spp", "syp", "lc", "l1", "l2", "lse")
+    both = df.where(a.isNotNull() & b.isNotNull()).select(site, a.alias("_ya"), b.alias("_pb"))
+    rho = average_rank(both, [site], {"_ra": "_ya", "_rb": "_pb"}).groupBy(site).agg(F.corr("_ra", "_rb").alias("rho"))
+    return g.join(own, site, "left").join(rho, site, "left")
 
 
 def site_bootstrap(df: DataFrame, site: str, y: str, p: str, seed: int, reps: int, hi: float = 0.5) -> DataFrame:
@@ -45,7 +48,7 @@ def site_bootstrap(df: DataFrame, site: str, y: str, p: str, seed: int, reps: in
         (1 - F.col("lse") / (F.col("l2") - F.col("l1") * F.col("l1") / F.col("lc"))).alias("log_nse"),
         (1 - F.sqrt((rho - 1) * (rho - 1) + (alpha - 1) * (alpha - 1) + (beta - 1) * (beta - 1))).alias("kge"),
     )
-    return g.join(quantiles(d, ["rep"], {"med_r2": ("r2", 0.5), "med_mape": ("mape", 0.5)}), "rep")
+    return g.join(quantiles(d, ["rep"], {"med_r2": ("r2", 0.5), "med_mape": ("mape", 0.5), "med_rho": ("rho", 0.5)}), "rep")
 
 
 def median_by_group(values: DataFrame, site: str, by: list[str], col: str, seed: int, reps: int) -> DataFrame:

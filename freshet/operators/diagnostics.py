@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions import normalize as N, transforms as X
-from freshet.functions.basics import by_keys, value_block, with_scalar
+from freshet.functions.basics import by_keys, clip, value_block, with_scalar
 from freshet.operators import metrics as M
 from freshet.operators.blocks import medians, ordered, quantiles
 
@@ -45,16 +45,16 @@ def disaggregate(df: DataFrame, site: str, y: str, p: str, turb: str, plain: dic
     d = df.join(per.select(site, "_var", "_ns"), site, "left")
     dims = {
         "overall": F.lit("ALL"), **{k: F.col(v) for k, v in plain.items()}, "variability": F.col("_var"),
-        "sample_count": X.bin_right("_ns", [0, 10, 20, 50, 200, 99999], ["1-10", "11-20", "21-50", "51-200", "200+"]),
-        "turb_tier": X.bin_right(turb, [0, 10, 50, 200, 1000, 999999], ["<10", "10-50", "50-200", "200-1000", ">1000"]),
-        "conc_tier": X.bin_right(y, [0, 50, 500, 5000, 999999], ["low", "med", "high", "extreme"]),
+        "sample_count": X.bin_right("_ns", [0, 10, 20, 50, 200, float("inf")], ["1-10", "11-20", "21-50", "51-200", "200+"]),
+        "turb_tier": X.bin_right(turb, [0, 10, 50, 200, 1000, float("inf")], ["<10", "10-50", "50-200", "200-1000", ">1000"]),
+        "conc_tier": X.bin_right(y, [0, 50, 500, 5000, float("inf")], ["low", "med", "high", "extreme"]),
     }
     return pack(long_groups(d, dims, [y, p]), ["dimension", "group"], y, p)
 
 
 def contrast(df: DataFrame, group: str, y: str, p: str, turb: str) -> DataFrame:
     """Metric pack, concentration-to-turbidity ratio (observed, predicted) and median bias per group."""
-    t = F.greatest(F.col(turb), F.lit(1.0))
+    t = clip(turb, 1.0)
     d = df.where(F.col(group).isNotNull())
     m = medians(d.select(group, (F.col(y) / t).alias("_o"), (F.col(p) / t).alias("_q"), (F.col(p) - F.col(y)).alias("_b")), [group],
                 ratio_obs="_o", ratio_pred="_q", median_bias="_b")

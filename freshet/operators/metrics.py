@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import by_keys, c, ratio
+from freshet.functions.basics import by_keys, c, clip, ratio
 from freshet.operators.blocks import average_rank, quantiles
 
 TINY = 1e-10
@@ -31,7 +31,7 @@ def log_sums(y: str | Column, p: str | Column, shift: float = 0.0, prefix: str =
     """Sums of ln(x) on pairs that are both positive (shift 0) or of ln(1 + clipped x)."""
     y, p = c(y), c(p)
     if shift:
-        ly, lp = F.log1p(F.greatest(y, F.lit(0.0))), F.log1p(F.greatest(p, F.lit(0.0)))
+        ly, lp = F.log1p(clip(y, 0.0)), F.log1p(clip(p, 0.0))
     else:
         pos = (y > 0) & (p > 0)
         ly, lp = F.when(pos, F.ln(y)), F.when(pos, F.ln(p))

@@ -79,14 +79,20 @@ def leakage(train: DataFrame, split: DataFrame, site: str) -> DataFrame:
     return n.withColumn("passed", F.col("n_leaked") == 0)
 
 
-def table_hash(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Order-independent fingerprint: rows to text (rounded numbers, explicit NULLs), md5
+def table_hash(df: DataFrame, digits: int = 8) -> DataFrame:
+    """Order-independent fingerprint: rows to text (rounded numbers, explicit NULLs, each with its length), md5
     halves summed. Summing is associative, so partitioning does not matter."""
     def text(name: str, kind: str) -> Column:
         x = F.col(name)
         if kind in ("double", "float"):
-            x = F.floor(x * F.lit(float(10**digits)) + 0.5).cast("long")
-        return F.coalesce(x.cast("string"), F.lit("~"))
+            x = F.round(x.cast("double") * F.lit(float(10**digits)), 0).cast("double")
+            large = F.isnan(x) | (F.abs(x) >= F.lit(1e18))
+            s = F.when(F.isnan(x), F.lit("NaN")).when(large, F.format_string("%.17e", x)).otherwise(F.when(~large, x).cast("long").cast("string"))
+        elif kind.startswith("timestamp"):
+            s = F.unix_micros(x.cast("timestamp")).cast("string")
+        else:
+            s = x.cast("string")
+        return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("~"))
 
     cols = sorted(df.dtypes)
     h = F.md5(F.concat_ws("|", *[text(n, k) for n, k in cols]))

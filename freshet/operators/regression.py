@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import c, with_scalar
+from freshet.functions.basics import c, clip, with_scalar
 from freshet.operators import metrics as M
 
 TINY = 1e-10
@@ -170,7 +170,7 @@ def ridge_logo(df: DataFrame, site: str, numeric: list[str], cats: dict[str, lis
     of other sites. Metrics per site in model and native space.
     """
     d, names = design(df, numeric, cats)
-    d = d.withColumn("_y", F.sqrt(F.greatest(F.col(y), F.lit(0.0))))
+    d = d.withColumn("_y", F.sqrt(clip(y, 0.0)))
     fits = ridge_leave_out(gram(d, [site], names, "_y"), site, len(names), alpha)
     # one coefficient row per site; rows of a big site are split by the skew join
     s = d.join(fits, site)
