@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from freshet.catalog.registry import query
 from freshet.functions import transforms as X
-from freshet.functions.basics import r, ratio, with_scalar
+from freshet.functions.basics import r, ratio, spread_join, with_scalar
 from freshet.operators import metrics as M, sampling as S
 from freshet.operators.blocks import medians, modal, quantiles
 
@@ -90,7 +90,7 @@ def _(t):
     (select site, quantile_cont(flow, 0.9) as q90 from v_pred group by site) using (site) where flow >= q90 group by site""")
 def _(t):
     q = quantiles(t.pred, ["site"], {"q90": ("flow", 0.9)})
-    d = t.pred.join(q, "site").where("flow >= q90")
+    d = spread_join(t.pred, q, ["site"]).where("flow >= q90")
     return M.site_skill(d, ["site"], "y", "p", ["rmse"]).select("site", r("rmse").alias("storm_rmse"))
 
 

@@ -103,6 +103,18 @@ def by_keys(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") ->
     return with_scalar(a, b)
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join rows with a table of one row per key so that the rows of one key meet it in many tasks.
+
+    The small side is copied once for each salt. What follows is partitioned by key and salt, so an
+    aggregate by key combines rows where they are before it shuffles.
+    """
+    rest = [x for x in rows.columns if x not in keys] or keys
+    a = rows.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    b = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and scratch tables that all executors reach.
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import clip, micros
+from freshet.functions.basics import clip, micros, spread_join
 from freshet.functions.normalize import region_code
 from freshet.operators.blocks import keep_first, medians
 
@@ -76,7 +76,7 @@ def overlap(a: DataFrame, b: DataFrame, site: str, pa: str, pb: str, min_days: f
 
 def counts_in_record(samples: DataFrame, span: DataFrame, site: str, t: str, prefix: str) -> DataFrame:
     """Samples before, inside and after the sensor record; all are before if there is none."""
-    j = samples.join(span, site, "left")
+    j = spread_join(samples, span, [site], "left")
     before = F.col(f"{prefix}_begin").isNull() | (F.col(t) < F.col(f"{prefix}_begin"))
     after = F.coalesce(F.col(t) > F.col(f"{prefix}_end"), F.lit(False))
     return j.groupBy(site).agg(

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import by_keys, c, clip, settle
+from freshet.functions.basics import by_keys, c, clip, settle, spread_join
 from freshet.operators import metrics as M
 from freshet.operators.blocks import quantiles
 
@@ -51,7 +51,7 @@ def rating_curve(cal: DataFrame, site: str, conc: str, flow: str) -> DataFrame:
     ).where("n_cal >= 3")
     fit = fit.withColumn("slope", F.col("_c") / F.nullif(F.col("_v"), F.lit(0.0))).withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))
     fit = fit.select(site, "n_cal", "slope", "intercept")
-    res = d.join(fit, site).groupBy(site).agg(F.avg(F.pow(F.lit(10.0), F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))).alias("_b"))
+    res = spread_join(d, fit, [site]).groupBy(site).agg(F.avg(F.pow(F.lit(10.0), F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))).alias("_b"))
     return fit.join(res, site).withColumn("smear", clip("_b", 0.5, 5.0)).drop("_b")
 
 

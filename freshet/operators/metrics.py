@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import by_keys, c, clip, ratio
+from freshet.functions.basics import by_keys, c, clip, ratio, spread_join
 from freshet.operators.blocks import average_rank, quantiles
 
 TINY = 1e-10
@@ -142,13 +142,13 @@ def flow_strata(df: DataFrame, site: str, y: str, p: str, flow: str, qs: tuple[f
     th = quantiles(d, [site], {"_lo": (flow, qs[0]), "_hi": (flow, qs[1])})
     lo, hi = int(qs[0] * 100), int(qs[1] * 100)
     lab = F.when(F.col(flow) < F.col("_lo"), f"Q<{lo}").when(F.col(flow) < F.col("_hi"), f"Q{lo}-{hi}").otherwise(f"Q>{hi}")
-    return d.join(th, site).withColumn("stratum", lab).drop("_lo", "_hi")
+    return spread_join(d, th, [site]).withColumn("stratum", lab).drop("_lo", "_hi")
 
 
 def histogram(df: DataFrame, by: list[str], value: str, bins: int) -> DataFrame:
     """Equal-width counts between each group's own extremes."""
     lim = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    d = by_keys(df, lim, by)
+    d = spread_join(df, lim, by) if by else by_keys(df, lim, by)
     pos = F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins)
     return (
         d.withColumn("bin", F.least(F.coalesce(pos, F.lit(0)), F.lit(bins - 1)).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions import normalize as N
-from freshet.functions.basics import micros
+from freshet.functions.basics import micros, spread_join
 from freshet.operators.blocks import medians, modal, ordered, quantiles
 
 # fixed values: hours dropped after the end of a flagged episode
@@ -136,7 +136,7 @@ def substitute_nondetects(
     has = d.groupBy(site).agg(
         *[F.max((F.col("is_nondetect") & N.number(x).isNotNull()).cast("int")).alias(f"_h{i}") for i, x in enumerate(limits)]
     )
-    d = d.join(has, site)
+    d = spread_join(d, has, [site])
     pick = F.lit(None).cast("double")
     for i, x in reversed(list(enumerate(limits))):
         pick = F.when(F.col(f"_h{i}") == 1, N.number(x)).otherwise(pick)

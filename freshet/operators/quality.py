@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import with_scalar
+from freshet.functions.basics import spread_join, with_scalar
 from freshet.operators.blocks import medians
 
 
@@ -164,7 +164,7 @@ def gate(counts: DataFrame, site: str, n: str, min_n: int, thresholds: list[int]
 def gap_yield(samples: DataFrame, span: DataFrame, site: str, t: str, prefix: str, rate: float) -> DataFrame:
     """Samples outside the sensor record, the years to fetch on each side, pairs to expect."""
     lo, hi = F.col(f"{prefix}_begin"), F.col(f"{prefix}_end")
-    j = samples.join(span, site, "left")
+    j = spread_join(samples, span, [site], "left")
     before, after = lo.isNull() | (F.col(t) < lo), F.coalesce(F.col(t) > hi, F.lit(False))
     g = j.groupBy(site, lo, hi).agg(
         F.count("*").alias("n_samples"), F.count_if(before).alias("n_before"), F.count_if(after).alias("n_after"),

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import c, clip, with_scalar
+from freshet.functions.basics import c, clip, spread_join, with_scalar
 from freshet.operators import metrics as M
 
 TINY = 1e-10
@@ -29,7 +29,7 @@ def site_lines(df: DataFrame, site: str, x: Column, y: Column, train: str = "is_
     d = df.select(site, train, x.alias("_x"), y.alias("_y"))
     ok = d.groupBy(site).agg(F.count("*").alias("n")).where(F.col("n") >= min_n)
     fit = line_fit(d.where(F.col(train)), [site], "_x", "_y")
-    test = d.where(~F.col(train)).join(fit, site).withColumn("_p", F.col("intercept") + F.col("slope") * F.col("_x"))
+    test = d.where(~F.col(train)).transform(lambda x: spread_join(x, fit, [site])).withColumn("_p", F.col("intercept") + F.col("slope") * F.col("_x"))
     score = M.site_skill(test, [site], "_y", "_p", ["r2"])
     return ok.join(fit.select(site, "slope", "intercept"), site).join(score, site)
 
@@ -172,8 +172,7 @@ def ridge_logo(df: DataFrame, site: str, numeric: list[str], cats: dict[str, lis
     d, names = design(df, numeric, cats)
     d = d.withColumn("_y", F.sqrt(clip(y, 0.0)))
     fits = ridge_leave_out(gram(d, [site], names, "_y"), site, len(names), alpha)
-    # one coefficient row per site; rows of a big site are split by the skew join
-    s = d.join(fits, site)
+    s = spread_join(d, fits, [site])
     s = s.withColumn("_p", sum((F.col(z) * F.col("coef")[i] for i, z in enumerate(names)), F.lit(0.0)))
     s = s.withColumn("_pn", F.col("_p") * F.col("_p") * F.col("factor"))
     a = M.site_skill(s, [site], "_y", "_p", ["n", "r2", "kge"])

@@ -151,3 +151,46 @@ def test_result_does_not_depend_on_partitioning(spark, sf_dir):
     a = quantiles(t.pred.repartition(1), ["site"], {"m": ("y", 0.5)}).toPandas().sort_values("site")
     b = quantiles(t.pred.repartition(23), ["site"], {"m": ("y", 0.5)}).toPandas().sort_values("site")
     assert np.array_equal(a.m.values, b.m.values)
+
+
+def test_salted_join_lets_a_large_site_be_combined_first(spark, skewed):
+    from freshet.functions.basics import spread_join
+
+    pdf, d = skewed
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per = d.groupBy("site").agg(F.max("v").alias("top"))
+        out = spread_join(d.drop("time"), per, ["site"]).groupBy("site").agg(F.sum(F.col("top") - F.col("v")).alias("s"), F.count("*").alias("n"))
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        got = {r.site: (r.s, r.n) for r in out.collect()}
+        text = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    head = text[: text.index("Join")]
+    assert "Exchange hashpartitioning(site" in head and "SortMergeJoin" in plan
+    for s, g in pdf.groupby("site"):
+        assert got[s][1] == len(g) and got[s][0] == pytest.approx((g.v.max() - g.v).sum())
+
+
+def test_rounding_keeps_large_values_and_nan(spark):
+    from freshet.functions.basics import r
+
+    df = spark.createDataFrame([(3e16,), (float("nan"),), (1.23456,), (-2.5,), (None,)], "x double").select(r("x", 4).alias("x"))
+    got = [row.x for row in df.collect()]
+    assert got[0] == 3e16 and np.isnan(got[1]) and got[2:] == [1.2346, -2.5, None]
+
+
+def test_no_cap_on_qualifier_parts_and_open_top_bins(spark):
+    from freshet.functions import normalize as N, transforms as X
+
+    text = "A," + ",".join(f"q{i}" for i in range(1500))
+    assert spark.createDataFrame([(text,)], "q string").select(N.batch_qualifier("q").alias("q")).first().q.endswith("q1499")
+    assert spark.range(1).select(X.bin_right(F.lit(100_000), [0, 200, float("inf")], ["few", "many"]).alias("b")).first().b == "many"
+
+
+@pytest.mark.parametrize("clock", ["10:00", "10:00:00", "10:00:00.250", "9:05"])
+def test_time_forms(spark, clock):
+    from freshet.functions import normalize as N
+
+    df = spark.createDataFrame([("2024-05-01", clock, "EST")], "d string, c string, z string")
+    assert df.select(N.to_utc("d", "c", "z").alias("t")).first().t is not None
