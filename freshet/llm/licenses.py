@@ -6,7 +6,11 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from freshet.llm.common import kept
+
 THRESHOLD = 0.8
+#: Template bigrams (rows under 100 bytes) that are broadcast.
+SMALL = 200_000
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
@@ -94,7 +98,7 @@ def scan(docs: DataFrame, known: DataFrame, ident: str = "doc_id", text: str = "
     templates whose bounds hold the unit. The best template of a unit counts, at ties the
     first in the list. NULL and empty texts give no rows, nor do templates of fewer than two
     words; each of several equal rows is scanned. ``known`` is a list of texts a person keeps: its
-    sizes are read once, and its bigrams are left to Spark's size-checked broadcast.
+    sizes are read once, and its bigrams are broadcast if there are at most ``SMALL``, else shuffled.
     """
     worded = known.select("template", "license", F.split(normal(F.col("text")), " ").alias("w")).where(F.size("w") > 1)
     sized = worded.withColumn("size", F.size("w") - 1)
@@ -108,7 +112,8 @@ def scan(docs: DataFrame, known: DataFrame, ident: str = "doc_id", text: str = "
     cut = units(docs, ident, text).select("row", "id", "unit", "pos", F.split(normal(F.col("raw")), " ").alias("w"))
     cut = cut.withColumn("n", F.size("w") - 1).where((F.col("n") >= F.lit(lo)) & (F.col("n") <= F.lit(hi)) & (F.col("n") >= 1))
     cut = cut.select("row", "id", "unit", "pos", "n", F.explode(_bigrams(F.col("w"))).alias("bigram"))
-    met = cut.join(marks, "bigram").where("n BETWEEN lo AND hi")
+    marks = kept(marks, "template-bigrams")
+    met = cut.join(F.broadcast(marks) if marks.count() <= SMALL else marks, "bigram").where("n BETWEEN lo AND hi")
     each = met.groupBy("row", "id", "unit", "pos", "n", "template", "license", "size", "bigram", "in_template").agg(F.count(F.lit(1)).alias("in_unit"))
     dice = each.groupBy("row", "id", "unit", "pos", "n", "template", "license", "size").agg(F.sum(F.least("in_unit", "in_template")).alias("shared"))
     dice = dice.withColumn("dice", 2.0 * F.col("shared") / (F.col("n") + F.col("size"))).where(F.col("dice") >= threshold)
