@@ -20,10 +20,16 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """A written table in the shared folder: cuts the lineage of a result that several jobs read."""
-    path = scratch(df.sparkSession, name)
+    """A written table in the shared folder: cuts the lineage of a result that several jobs read.
+
+    It goes when the application ends, as the DataFrame returned may be read until then.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def signed(x: int) -> int:
