@@ -25,7 +25,7 @@ from freshet.llm.common import batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Entries of the memo tables of a Python worker; a full table starts anew.
-MEMO = 250_000
+MEMO = 120_000
 #: Pieces of a text that are held at once.
 HELD = 100_000
 
@@ -153,7 +153,7 @@ class Encoder:
         self.vocabulary = Vocabulary(data)
         self.pattern = regex.compile(pattern)
         self.packed = Memo(self._pack)
-        self.counts = Memo(lambda piece: len(self.vocabulary.piece(piece.encode())))
+        self.counts = Memo(lambda piece: len(self.vocabulary.piece(piece.encode())), 2 * MEMO)
 
     def _pack(self, piece: str) -> bytes:
         """Ids of a piece as little-endian unsigned 32-bit integers."""
