@@ -21,20 +21,25 @@ MOST_BITS = 5
 RUN = 256
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """Unsigned 64-bit SimHash of a text over word shingles, repeats included; no words: zero."""
+def shingles(text: bytes | None, width: int = 4) -> np.ndarray:
+    """Hashes of the word shingles of a text, repeats included; a shorter text is one shingle, one without words none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     hash64 = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return hash64(joined, SEED)
+        return np.array([hash64(joined, SEED)], np.uint64)
     stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     first = [0, *stops[: len(words) - width].tolist()]
     last = (stops[width - 1 :] - 1).tolist()
-    n = len(first)
-    hashes = np.fromiter((hash64(joined[s:e], SEED) for s, e in zip(first, last)), np.uint64, n)
+    return np.fromiter((hash64(joined[s:e], SEED) for s, e in zip(first, last)), np.uint64, len(first))
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """Unsigned 64-bit SimHash of a text over word shingles, repeats included; no words: zero."""
+    hashes = shingles(text, width)
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for i in range(0, n, 1 << 15):  # bounds the unpacked bits of a long text
         part = hashes[i : i + (1 << 15)]
