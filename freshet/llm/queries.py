@@ -73,7 +73,7 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), counts=True)
+    done = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), counts=True, every=True)
     return done.select("doc_id", "n_lines", "n_kept", F.char_length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
