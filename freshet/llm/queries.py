@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe, fingerprints, language, licenses, line_dedup, mixing, shards, simhash, token_counts, vector_join
+from freshet.llm import bpe, fingerprints, language, licenses, line_dedup, mixing, periodic_runs, prefix_trie, shards, simhash, token_counts, vector_join
 from freshet.llm.common import documents, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,36 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"), licenses.templates(spark))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = prefix_trie.rebuilt(kept(prefix_trie.ordered(documents(spark, sf_dir, "conversations")), "placed"))
+    nodes, ends = prefix_trie.trie(turns, members)
+    spread = prefix_trie.digests(ends)
+    ends_here = F.sha2(F.array_join(F.coalesce("ends", F.array().cast("array<bigint>")).cast("array<string>"), ","), 256)
+    return nodes.join(spread, ["k1", "k2"], "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), F.coalesce("sha", ends_here).alias("ends_sha256")
+    )
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each text, some of which are first made periodic from a word on, as their id says."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    words = F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    docs = docs.withColumns({"g": F.floor(F.col("h") / 10), "w": words}).withColumn("n", F.size("w"))
+    docs = docs.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.array_join(F.expr("transform(sequence(0, n - 1), i -> if(i >= a, w[a + (i - a) % p], w[i]))"), " ")
+    found = periodic_runs.runs(docs.select("doc_id", F.when(F.col("n") > 0, again).otherwise(F.col("text")).alias("text")))
+    longest = F.array_max(F.expr("transform(runs, r -> struct(r.length AS length, -r.start AS start, -r.period AS period))"))
+    found = found.withColumn("top", longest)
+    lines = F.array_join(F.expr("transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n'))"), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.floor(1000 * F.col("top.length") / -F.col("top.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
