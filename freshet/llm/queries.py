@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from freshet.llm import bpe, fingerprints, language, licenses, line_dedup, mixing, periodic_runs, prefix_trie, shards, simhash, token_counts, vector_join
+from freshet.llm import bpe, fingerprints, language, licenses, line_dedup, mixing, periodic_runs, prefix_trie, sanitise, shards, simhash, token_counts, vector_join
 from freshet.llm.common import documents, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"), licenses.templates(spark))
 
 
+@query
+def op11_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.scan(documents(spark, sf_dir))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) AS bigint) AS n_{kind}") for kind in (*(k for k, _ in sanitise.KINDS), "word")]
+    base = F.filter("spans", lambda s: s["action"] == "replace")
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, members = prefix_trie.rebuilt(kept(prefix_trie.ordered(documents(spark, sf_dir, "conversations")), "placed"))
