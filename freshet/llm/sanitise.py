@@ -109,11 +109,12 @@ def values(text: Column) -> Column:
     return F.array_sort(F.concat(*every))
 
 
-def candidates(base: DataFrame, support: int = SUPPORT) -> DataFrame:
+def candidates(base: DataFrame, support: int = SUPPORT, slack: float = SLACK) -> DataFrame:
     """``(entity, word, together)``: words beside a value in ``support`` different surroundings, and the documents where they are.
 
-    Entities are hashes of kind and lower-cased value. Counts are combined before each shuffle, so a value
-    that a third of all documents hold is no hot group.
+    A word that stands beside so many other values that it leaves more than ``slack`` bits is left out at once. Entities
+    are hashes of kind and lower-cased value. Counts are combined before each shuffle, so a value that a third of all
+    documents hold is no hot group.
     """
     some = base.where(F.size("spans") > 0)
     entity = lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))
@@ -122,24 +123,18 @@ def candidates(base: DataFrame, support: int = SUPPORT) -> DataFrame:
     tagged = lambda s: F.transform(s["near"], lambda w: F.concat(F.hex(entity(s)), F.lit(":"), w))
     pairs = some.select(F.explode(F.array_distinct(F.flatten(F.transform("spans", tagged)))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("together"))
     pairs = pairs.select(F.conv(F.substring_index("pair", ":", 1), 16, -10).cast("bigint").alias("entity"), F.substring_index("pair", ":", -1).alias("word"), "together")
-    return wide.join(pairs, ["entity", "word"]).select("entity", "word", "together")
-
-
-def _meeting(rows: DataFrame, few: DataFrame, n: int) -> DataFrame:
-    """Rows whose word is in ``few``, a table of ``n`` words, broadcast only if these are not many."""
-    return rows.join(F.broadcast(few) if n <= BROADCAST else few, "word")
+    beside = some.select(F.explode(F.array_distinct(F.flatten("spans.near"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("beside"))
+    met = wide.join(pairs, ["entity", "word"]).join(beside, "word")
+    return met.where(F.log2(F.col("beside") / F.col("together")) <= slack).select("entity", "word", "together")
 
 
 def telling(docs: DataFrame, pairs: DataFrame, text: str = "text", slack: float = SLACK, remove: float = REMOVE) -> DataFrame:
-    """``(word, bits, action)``: words that leave at most ``slack`` bits of some entity; counted over all documents."""
-    few = kept(pairs.select("word").distinct(), "words-beside")
-    n = few.count()
-    each = docs.select(F.explode(F.array_distinct(F.split(F.col(f"`{text}`"), GAP))).alias("word"))
-    if n <= BROADCAST:
-        counts = _meeting(each, few, n).groupBy("word").agg(F.count(F.lit(1)).alias("everywhere"))
-    else:  # counts first: what is shuffled is a row for each word, not for each of its documents
-        counts = each.groupBy("word").agg(F.count(F.lit(1)).alias("everywhere")).join(few, "word")
-    left = pairs.join(counts, "word").groupBy("word").agg(F.min(F.log2(F.col("everywhere") / F.col("together"))).alias("bits"))
+    """``(word, bits, action)``: words that leave at most ``slack`` bits of some entity; counted over all documents.
+
+    Words are counted before they are joined, so the join has a row for each word, not for each of its documents.
+    """
+    counts = docs.select(F.explode(F.array_distinct(F.split(F.col(f"`{text}`"), GAP))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("everywhere"))
+    left = counts.join(kept(pairs, "words-beside"), "word").groupBy("word").agg(F.min(F.log2(F.col("everywhere") / F.col("together"))).alias("bits"))
     return left.where(F.col("bits") <= slack).withColumn("action", F.when(F.col("bits") <= remove, "remove").otherwise("generalise"))
 
 
@@ -152,7 +147,8 @@ def word_spans(docs: DataFrame, tell: DataFrame, text: str = "text") -> DataFram
     own = F.col(f"`{text}`")
     src = docs.select(*text_key(own), own.alias("text"))
     each = src.select("k1", "k2", F.explode(F.array_distinct(F.split("text", GAP))).alias("word"))
-    hits = _meeting(each, tell, tell.count()).groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("word", "action"))).alias("acts"))
+    few = F.broadcast(tell) if tell.count() <= BROADCAST else tell
+    hits = each.join(few, "word").groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(F.struct("word", "action"))).alias("acts"))
     held = src.join(hits, ["k1", "k2"]).withColumn("pattern", F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.map_keys("acts"), "|"), F.lit(r")(?![\p{L}\p{N}])")))
 
     def make(start: Column, value: Column, _: Column, __: Column) -> Column:
@@ -173,7 +169,7 @@ def scan(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFram
     src = docs.select(F.col(f"`{ident}`").alias("_id"), own.alias("text"))
     base = kept(src.select("_id", *text_key(F.col("text")), values(F.col("text")).alias("spans")), "values")
     tell = kept(telling(src, candidates(base)), "telling")
-    both = base.join(word_spans(src, tell), ["k1", "k2"], "left")
+    both = base.join(kept(word_spans(src, tell), "word-spans"), ["k1", "k2"], "left")
     value = lambda s: F.struct(s["start"], s["no"], s["stop"], s["kind"], s["value"], F.lit("replace").alias("action"))
     word = lambda s: F.struct(s["start"], F.lit(len(KINDS)).alias("no"), s["stop"], F.lit("word").alias("kind"), s["value"], s["action"])
     free = F.filter("words", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["stop"]) & (w["start"] < s["stop"])))
