@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 from freshet.catalog.joins import rsel
 from freshet.catalog.metrics import AVGRANK, KGE, R2
 from freshet.catalog.registry import query
-from freshet.catalog.windows import GAP, GRID, SESS, SLICE, flow_grid
+from freshet.catalog.windows import GAP, GRID, SESS, SLICE, flow_grid, flow_long
 from freshet.functions.basics import r
-from freshet.operators import events as E, loads as L
+from freshet.operators import events as E, grid as G, loads as L
 
 
-@query("grid_build", "select site, cast(day as timestamp) as time, q, conc, q is not null as covered from v_grid", GRID)
+@query("grid_build", """select s.site, cast(s.day as timestamp) as time, q, conc, q is not null as covered
+    from (select site, cast(unnest(generate_series(timestamp '1995-03-01', timestamp '1996-02-29', interval 1 day)) as date) as day from (select distinct site from v_flow)) s
+    left join v_flow f on s.site = f.site and s.day = f.day""")
 def _(t):
-    return flow_grid(t, None).select("site", "time", "q", "conc", "covered")
+    """A given year of every site; later copies of a reading do not count."""
+    rows = flow_long(t).withColumn("pos", F.lit(1))
+    late = rows.where("site % 2 = 0").select("site", "day", "code", (F.col("value") - 1).alias("value"), F.lit(2).alias("pos"))
+    g = G.build(rows.unionByName(late), "site", "code", "day", 86_400, {"q": "q", "conc": "conc"}, None, "q", "1995-03-01", "1996-02-29", "pos")
+    return g.select("site", "time", "q", "conc", "covered")
 
 
 @query("grid_interp", "select site, idx, R(q) as q, R(conc) as conc from v_fill", GRID)
@@ -22,18 +28,63 @@ def _(t):
     return flow_grid(t).select("site", "idx", *rsel("q", "conc"))
 
 
-F4, T7 = "(partition by site order by idx rows between 4 preceding and 3 following)", "(partition by site order by idx rows between 6 preceding and current row)"
-
-
-@query("grid_features", f"""select g.site, idx, R(coalesce(g.q, m.mq)) as q, R(avg(conc) over {F4}) as c_mean, R(coalesce(stddev_samp(conc) over {F4}, 0)) as c_std,
-      R(case when count(g.q) over {T7} >= 3 then avg(g.q) over {T7} end) as mean_7, R(conc / nullif(g.q, 0)) as conc_q,
-      R(sin(2 * pi() * dayofyear(day) / 365.25)) as doy_sin, region, R(ln(1 + greatest(area, 0))) as log_area
-    from v_fill g cross join (select quantile_cont(q, 0.5) as mq from v_flow) m left join v_sites using (site)""", GRID)
-def _(t):
+def _over(k: int, m: int = 0) -> str:
+    return f"(partition by site order by idx rows between {k} preceding and {m} following)"
+
+
+def _slope(col: str, width: int) -> str:
+    """SQL: slope over a full window that also has a row behind it."""
+    half = width // 2
+    steps = [i - (width - 1) / 2 for i in range(width)]
+    terms = " + ".join(f"{x}::double * {f'lag({col}, {half - i})' if i <= half else f'lead({col}, {i - half})'} over w" for i, x in enumerate(steps))
+    return f"case when count({col}) over {_over(half, half - 1)} = {width} and lead(1, {half}) over w is not null then ({terms}) / {sum(x * x for x in steps)!r}::double end"
+
+
+SENSORS = {"turb": "conc", "flow": "q", "cond": "case when idx % 11 = 0 then null else conc * 3.5 end", "do": "case when idx % 9 = 0 then null else 6 + idx % 7 end", "ph": "cast(7 + idx % 3 as double)", "temp": "cast(idx % 43 - 1 as double)"}
+SENSOR_SQL = ", ".join(f"{v} as {k}" for k, v in SENSORS.items())
+NUMERIC = ["turb", "flow", "cond", "do", "ph", "temp", "turb_mean", "turb_min", "turb_max", "turb_std", "turb_range", "turb_slope", "flow_slope", "rising_limb", "flow_week", "flow_month", "flow_ratio", "turb_flow_ratio",
+           "do_departure", "cond_turb", "log_turb", "turb_saturated", "turb_below", "doy_sin", "doy_cos", "rain_1d", "rain_2d", "rain_7d", "rain_30d", "days_since_rain", "air_temp", "log_area", "flush"]
+CATEGORIES = ["collection_method", "turb_source", "sensor_family"]
+MEDIANS = {"flow": "q", "turb": "conc", "turb_slope": "conc / 100", "rain_7d": "q / 50"}  # columns of the training table
+TK = "(greatest(least(temp, 40), 0) + 273.15::double)"
+FEATURES = {**GRID,
+    "v_gs": f"select site, idx, day, {SENSOR_SQL} from v_fill",
+    "v_roll": f"""select *, avg(turb) over {_over(4, 3)} as turb_mean, min(turb) over {_over(4, 3)} as turb_min, max(turb) over {_over(4, 3)} as turb_max, coalesce(stddev_samp(turb) over {_over(4, 3)}, 0) as turb_std,
+      {_slope('turb', 8)} as turb_slope, {_slope('flow', 16)} as flow_slope, case when count(flow) over {_over(6)} >= 3 then avg(flow) over {_over(6)} end as flow_week,
+      case when count(flow) over {_over(29)} >= 3 then avg(flow) over {_over(29)} end as flow_month from v_gs window w as (partition by site order by idx)""",
+    "v_wet": "select site, day, case when (dayofyear(day) * 13 + site) % 5 = 0 then null else cast((dayofyear(day) * 13 + site) % 7 as double) / 2 end as rain_mm, cast(dayofyear(day) % 30 as double) as tmean_c from v_flow where (dayofyear(day) + site) % 23 > 0",
+    "v_wx": """select *, rn - last_value(case when rain_mm > 1 then rn end ignore nulls) over (partition by site order by day rows between unbounded preceding and current row) as days_since_rain from (select site, day, tmean_c as air_temp, rain_mm,
+      row_number() over (partition by site order by day) as rn, coalesce(lag(rain_mm) over (partition by site order by day), 0) as rain_1d, """
+      + ", ".join(f"sum(rain_mm) over (partition by site order by day rows between {k} preceding and 1 preceding) as rain_{k}d" for k in (2, 7, 30)) + " from v_wet)",
+    "v_attr": "select site, area, case when site % 4 > 0 then region end as sensor_family from v_sites",
+    "v_full": f"""select g.*, x.rain_1d, x.rain_2d, x.rain_7d, x.rain_30d, cast(x.days_since_rain as double) as days_since_rain, x.air_temp, ln(1 + greatest(area, 0)) as log_area, sensor_family,
+      ln(1 + coalesce(x.days_since_rain, 0)) * ln(1 + coalesce(x.rain_1d, 0)) as flush, 'auto_point' as collection_method, 'continuous' as turb_source, turb_max - turb_min as turb_range, cast(flow_slope > 0 as int) as rising_limb,
+      flow / nullif(flow_week, 0) as flow_ratio, turb / nullif(flow, 0) as turb_flow_ratio, cond * turb as cond_turb, ln(1 + greatest(turb, 0)) as log_turb, case when turb > 3000 then 1 else 0 end as turb_saturated,
+      case when turb <= 0.5 then 1 else 0 end as turb_below, sin(2 * pi() * dayofyear(g.day) / 365.25) as doy_sin, cos(2 * pi() * dayofyear(g.day) / 365.25) as doy_cos,
+      "do" - exp(-139.34411::double + 1.575701e5 / {TK} - 6.642308e7 / pow({TK}, 2) + 1.2438e10 / pow({TK}, 3) - 8.621949e11 / pow({TK}, 4)) as do_departure
+      from v_roll g left join v_wx x on g.site = x.site and g.day = x.day left join v_attr a on g.site = a.site""",
+    "v_med": "select " + ", ".join(f"quantile_cont({v}, 0.5) as m_{k}" for k, v in MEDIANS.items()) + " from v_flow",
+}
+FEATURES["v_gs"] = FEATURES["v_gs"].replace(" as do,", ' as "do",')
+
+
+def sql_filled(x: str) -> str:
+    q = '"do"' if x == "do" else x
+    return f"R(coalesce({q}, {f'm_{x}, ' if x in MEDIANS else ''}0)) as {q}"
+
+
+@query("grid_features", f"select site, idx, {', '.join(map(sql_filled, NUMERIC))}, {', '.join(f'coalesce({x}, {chr(39)}missing{chr(39)}) as {x}' for x in CATEGORIES)} from v_full, v_med", FEATURES)
+def _(t):
+    """All features of the grid with gaps filled from the training table."""
     from freshet.plans.features import grid_features
 
-    d = grid_features(flow_grid(t), t.sites.select("site", "region", "area"), t.flow, "site", "conc", "q", 7, 3)
-    return d.select("site", "idx", *rsel("q", "c_mean", "c_std", "mean_7", "conc_q", "doy_sin"), "region", r("log_area").alias("log_area"))
+    grid = flow_grid(t).selectExpr("site", "idx", "time", *[f"cast({v} as double) as `{k}`" for k, v in SENSORS.items()])
+    weather = t.flow.where("(dayofyear(day) + site) % 23 > 0").selectExpr(
+        "site", "day", "case when (dayofyear(day) * 13 + site) % 5 = 0 then null else cast((dayofyear(day) * 13 + site) % 7 as double) / 2 end as rain_mm", "cast(dayofyear(day) % 30 as double) as tmean_c")
+    attrs = t.sites.select("site", "area", F.when(F.col("site") % 4 > 0, F.col("region")).alias("sensor_family"))
+    train = t.flow.selectExpr(*[f"{v} as {k}" for k, v in MEDIANS.items()])
+    d = grid_features(grid, weather, attrs, train, "site", "idx", "time", NUMERIC, CATEGORIES, 7, 30, 3)
+    return d.select("site", "idx", *rsel(*NUMERIC), *CATEGORIES)
 
 
 @query("load_rate", "select site, day, R(conc * q * 0.0027) as load from v_flow")

@@ -37,10 +37,14 @@ def _(t):
 
 
 @query("ml_prepare", f"""select site, time, y, R((pow(1 + y, 0.2) - 1) / 0.2) as target, turb, flow, method, coalesce(nullif(family, 'unknown'), 'missing') as family, R(ln(1 + area)) as log_drainage_area,
-    lpad(cast(nation as varchar), 2, '0') as huc2, clay_pct from (select * from v_pred where {ROLE} = 'training' qualify row_number() over (partition by site, time order by oid) = 1) join v_sites using (site)""")
+    lpad(cast(nation as varchar), 2, '0') as huc2, clay_pct, (select count(*) from v_pred) as n_loaded, (select count(*) from v_pred where site not in (select site from v_sites where {ROLE} <> 'training')) as n_split,
+    (select count(*) from v_pred join v_sites using (site) where {ROLE} = 'training') as n_merged, count(*) over () as n_selected
+    from (select * from v_pred where {ROLE} = 'training' qualify row_number() over (partition by site, time order by oid) = 1) join v_sites using (site)""")
 def _(t):
-    d, _lineage = prepared(t)
-    return d.withColumn("target", r("target")).withColumn("log_drainage_area", r("log_drainage_area"))
+    """The prepared rows, each with the row counts of the steps."""
+    d, lineage = prepared(t)
+    counts = {r.stage: r.n_rows for r in lineage.collect()}  # one row a step
+    return d.withColumn("target", r("target")).withColumn("log_drainage_area", r("log_drainage_area")).withColumns({f"n_{k}": F.lit(v).cast("long") for k, v in counts.items()})
 
 
 @query("ml_gbt")

@@ -143,6 +143,7 @@ RAW_ATTR = {
     "pctsilicicws": "case when site % 6 = 0 then 0 else clay_pct * 1.0 end",
     "pctglactilloamws": "case when site % 6 = 0 then null else sand_pct * 1.0 end",
     "pctwaterws": "case when site % 6 = 0 then 0 else nation * 2.0 end", "clayws": "clay_pct * 1.0", "wsareasqkm": "area",
+    "pctdecid2001ws": "nation * 1.25", "pcturbop2001ws": "case when site % 5 = 0 then null else sand_pct * 0.5 end",
 }
 RAW_SQL = ", ".join(f"cast({v} as double) as {k}" for k, v in RAW_ATTR.items())
 
@@ -155,7 +156,7 @@ def raw_attrs(t):
       coalesce(pctdecid2019ws, 0) + coalesce(pctconif2019ws, 0) as forest_pct, coalesce(pctcrop2019ws, 0) as agriculture_pct,
       coalesce(pcturbhi2019ws, 0) as developed_pct, pctsilicicws as pct_siliciclastic,
       pctglactilloamws as pct_glacial_till_loam, pctwaterws as pct_water_geology, clayws as clay_pct,
-      cast(null as double) as sand_pct, case when coalesce(pctsilicicws, 0) + coalesce(pctglactilloamws, 0) + coalesce(pctwaterws, 0) = 0 then null
+      cast(null as double) as sand_pct, pctdecid2001ws as pctdecid_2001, pcturbop2001ws as pcturbop_2001, case when coalesce(pctsilicicws, 0) + coalesce(pctglactilloamws, 0) + coalesce(pctwaterws, 0) = 0 then null
         when coalesce(pctsilicicws, 0) >= greatest(coalesce(pctglactilloamws, 0), coalesce(pctwaterws, 0)) then 'siliciclastic'
         when coalesce(pctglactilloamws, 0) >= coalesce(pctwaterws, 0) then 'glacial_till_loam' else 'water_geology' end as geol_class
     from (select site, {RAW_SQL} from v_sites)""")
@@ -164,7 +165,7 @@ def _(t):
 
     d = map_attributes(raw_attrs(t), "site")
     return d.select("site", "drainage_area_km2", "forest_pct", "agriculture_pct", "developed_pct", "pct_siliciclastic",
-                    "pct_glacial_till_loam", "pct_water_geology", "clay_pct", "sand_pct", "geol_class")
+                    "pct_glacial_till_loam", "pct_water_geology", "clay_pct", "sand_pct", "pctdecid_2001", "pcturbop_2001", "geol_class")
 
 
 @query("attr_dominant", f"""select site, case when coalesce(pctsilicicws, 0) + coalesce(pctglactilloamws, 0) + coalesce(pctwaterws, 0) = 0 then null
@@ -178,19 +179,20 @@ def _(t):
 
 @query("attr_prune", """select site, forest as forest_pct, crops + 0 as agriculture_pct, dev as developed_pct,
       greatest(100 - forest - crops - dev, 0) as other_landcover_pct, tmax - tmin as temp_range_c, dams as n_dams,
-      0.0::double as dam_storage, cast(null as double) as road_density
+      0.0::double as dam_storage, cast(null as double) as road_density, clay as clay_pct, sand as sand_pct, clay - sand as relief_m, cls as reference_class
     from (select site, cast(clay_pct * 0.5 as double) as forest, cast(sand_pct * 0.5 as double) as crops, cast(nation as double) as dev, area as tmax,
-      cast(n_dams as double) as tmin, cast(n_dams as double) as dams from v_sites)""")
+      cast(n_dams as double) as tmin, cast(n_dams as double) as dams, cast(clay_pct as double) as clay, cast(sand_pct as double) as sand, region as cls from v_sites)""")
 def _(t):
     from freshet.operators.attributes import prune_attributes
 
     raw = t.sites.selectExpr(
         "site", "cast(clay_pct * 0.5 as double) as FORESTNLCD06", "cast(sand_pct * 0.5 as double) as CROPSNLCD06",
         "cast(nation as double) as DEVNLCD06", "area as T_MAX_BASIN", "cast(n_dams as double) as T_MIN_BASIN",
-        "cast(n_dams as double) as NDAMS_2009")
+        "cast(n_dams as double) as NDAMS_2009", "cast(clay_pct as double) as CLAYAVE", "cast(sand_pct as double) as SANDAVE", "area as T_AVG_BASIN",
+        "cast(clay_pct as double) as ELEV_MAX_M_BASIN", "cast(sand_pct as double) as ELEV_MIN_M_BASIN", "area as ELEV_MEAN_M_BASIN", "region as CLASS")
     d = prune_attributes(raw, "site")
     return d.select("site", "forest_pct", "agriculture_pct", "developed_pct", "other_landcover_pct", "temp_range_c",
-                    "n_dams", "dam_storage", "road_density")
+                    "n_dams", "dam_storage", "road_density", "clay_pct", "sand_pct", "relief_m", "reference_class")
 
 
 @query("attr_drop_cols", "select site, clay_pct, area from v_sites")

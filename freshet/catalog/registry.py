@@ -34,13 +34,17 @@ def _round(args: list[str]) -> str:
     return f"(floor(({args[0]}) * {s} + 0.4873) / {s})"
 
 
+def _sig(args: list[str]) -> str:
+    return f"cast(format('{{:.{int(args[1]) - 1 if len(args) > 1 else 5}e}}', cast({args[0]} as double) * (1 + 1e-10::double)) as double)"
+
+
 def _draw(args: list[str]) -> str:
     key = " || ':' || ".join(f"cast({a.strip()} as varchar)" for a in args)
     return f"cast(('0x' || substr(md5({key}), 1, 8)) as bigint)"
 
 
 def expand(sql: str, extra: dict[str, str] | None = None) -> str:
-    """Expand R() (rounding), DRAW() (md5 draw) and prepend the views the text names."""
+    """Expand R() (rounding), SIG() (significant digits), DRAW() (md5 draw) and prepend the views the text names."""
     views = {**VIEWS, **(extra or {})}
     need: list[str] = []
 
@@ -60,7 +64,7 @@ def expand(sql: str, extra: dict[str, str] | None = None) -> str:
         head = "with " + ", ".join(ctes)
     else:
         head = ("with " + ", ".join(ctes) + " ") if ctes else ""
-    return _calls(_calls(head + body, "R", _round), "DRAW", _draw)
+    return _calls(_calls(_calls(head + body, "R", _round), "SIG", _sig), "DRAW", _draw)
 
 
 def query(name: str, sql: str | None = None, views: dict[str, str] | None = None):

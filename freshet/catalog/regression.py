@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from freshet.catalog.joins import rsel
-from freshet.catalog.metrics import R2, REPORT, REPORT_COLS, rounded
+from freshet.catalog.metrics import KGE, R2, REPORT, REPORT_COLS
 from freshet.catalog.registry import query
 from freshet.catalog.sampling import CAL, sets
-from freshet.functions.basics import r, ratio, settle, with_scalar
+from freshet.functions.basics import r, ratio, settle, sig, with_scalar
 from freshet.operators import adapt as AD, metrics as M, regression as G, sampling as S, trials as T
 from freshet.operators.blocks import medians
 
@@ -55,12 +57,33 @@ def _(t):
     return multi_linear(d, "site", ["lx", "flow"], "ly", "is_train").select("site", "n_test", r("r2").alias("r2"))
 
 
-@query("reg_ridge_logo")
+RIDGE_KINDS = {"sqrt": None, "log1p": None, "boxcox": 0.2}
+RIDGE = {
+    "v_rb": "select site, case when oid % 29 = 0 then null else y end as yy, case when oid % 13 = 0 then null else turb end as a, case when oid % 17 = 0 then null else flow end as b, 1 + oid % 3 as w from v_pred",
+    "v_rm": "select quantile_cont(a, 0.5) as ma, quantile_cont(b, 0.5) as mb from v_rb where yy is not null",
+    "v_rr": """select site, kind, yy as yn, case kind when 'sqrt' then sqrt(yy) when 'log1p' then ln(1 + yy) else (pow(1 + yy, 0.2::double) - 1) / 0.2::double end as yt,
+      coalesce(a, ma) as x1, coalesce(b, mb) as x2, cast(w as double) as w from v_rb, v_rm, (select unnest(['sqrt', 'log1p', 'boxcox']) as kind) where yy is not null""",
+    "v_ro": """select site, kind, sum(w) as n, sum(w * x1) as s1, sum(w * x2) as s2, sum(w * yt) as sy, sum(w * x1 * x1) as s11, sum(w * x1 * x2) as s12, sum(w * x2 * x2) as s22,
+      sum(w * x1 * yt) as s1y, sum(w * x2 * yt) as s2y from v_rr group by 1, 2""",
+    "v_rt": "select site, kind, " + ", ".join(f"sum({x}) over (partition by kind) - {x} as {x}" for x in ("n", "s1", "s2", "sy", "s11", "s12", "s22", "s1y", "s2y")) + " from v_ro",
+    "v_rc": "select site, kind, s1 / n as m1, s2 / n as m2, sy / n as my, s11 - s1 * s1 / n + 1 as c11, s12 - s1 * s2 / n as c12, s22 - s2 * s2 / n + 1 as c22, s1y - s1 * sy / n as c1y, s2y - s2 * sy / n as c2y from v_rt",
+    "v_rf": """select site, kind, b1, b2, my - b1 * m1 - b2 * m2 as b0 from (select *, (c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) as b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) as b2 from v_rc)""",
+    "v_rx": """select site, kind, case when kind = 'log1p' then avg(e) else avg(yn) / avg(case kind when 'sqrt' then p * p else least(greatest(pow(greatest(p, -5 + 1e-10) * 0.2 + 1, 5) - 1, 0), 1e8) end) end as factor
+      from (select f.site, f.kind, yn, b0 + b1 * x1 + b2 * x2 as p, exp(yt - (b0 + b1 * x1 + b2 * x2)) as e from v_rr r join v_rf f on r.kind = f.kind and r.site <> f.site) group by 1, 2""",
+    "v_rp": """select site, kind, yt, yn, p, greatest(factor * case kind when 'sqrt' then p * p when 'log1p' then exp(p) - 1 else least(greatest(pow(greatest(p, -5 + 1e-10) * 0.2 + 1, 5) - 1, 0), 1e8) end, 0) as pn, factor
+      from (select r.*, b0 + b1 * x1 + b2 * x2 as p, factor from v_rr r join v_rf using (site, kind) join v_rx using (site, kind))""",
+}
+
+
+@query("reg_ridge_logo", f"""select kind, site, count(*) as n, SIG({R2('yt', 'p')}, 5) as r2, SIG({KGE('yt', 'p')}, 5) as kge, SIG({R2('yn', 'pn')}, 5) as r2_native, SIG(sqrt(avg(pow(yn - pn, 2))), 5) as rmse_native,
+    SIG(100 * (sum(pn) - sum(yn)) / sum(yn), 5) as pbias_native, SIG(max(factor), 5) as factor from v_rp group by kind, site having count(*) >= 5""", RIDGE)
 def _(t):
-    cats = {"method": ["auto_point", "depth_integrated", "grab"], "family": ["exo", "ysi", "unknown"]}
-    d = t.pred.withColumn("st", F.sqrt("turb"))
-    m = G.ridge_logo(d, "site", ["st", "flow", "dry_days"], cats, "y")
-    return m.select("site", "n", *rsel("r2", "kge", "r2_native", "rmse_native", "pbias_native", "factor"))
+    """Three targets, two features with gaps, weighted rows and rows without a target."""
+    some = lambda x, k: F.when(F.col("oid") % k != 0, F.col(x))
+    d = t.pred.select("site", some("y", 29).alias("y"), some("turb", 13).alias("a"), some("flow", 17).alias("b"), (1 + F.col("oid") % 3).alias("w"))
+    out = [G.ridge_logo(d, "site", ["a", "b"], {}, "y", kind=k, lam=lam, weight="w").withColumn("kind", F.lit(k)) for k, lam in RIDGE_KINDS.items()]
+    cols = ["r2", "kge", "r2_native", "rmse_native", "pbias_native", "factor"]
+    return reduce(lambda x, z: x.unionByName(z), out).select("kind", "site", "n", *[sig(x, 5).alias(x) for x in cols])
 
 
 @query("reg_site_slopes", """with s as (select site, count(*) as n, covar_pop(log10(turb), log10(y)) / nullif(var_pop(log10(turb)), 0) as slope from v_pred where y > 0 and turb > 0 group by site having count(*) >= 5)
@@ -76,57 +99,71 @@ GK = "mode, n, trial, site"
 LIN = {**CR, "v_l1": f"select {GK}, count(*) as k, avg(pm) as mp, avg(tm) as mt, covar_pop(pm, tm) as cov, var_pop(pm) as var from v_cr group by all",
        "v_l2": f"select {GK}, a, mt - a * mp as b from (select *, case when k <= 1 or var <= 1e-12 then 1.0::double else least(greatest(cov / nullif(var, 0), 0.1), 10) end as a from v_l1)",
        "v_fit": f"""select {GK}, a, b, case when avg(exp(a * pm + b) - 1) > 0 then least(greatest(avg(exp(tm) - 1) / avg(exp(a * pm + b) - 1), 0.1), 10) else 1 end as f
-         from v_cr join v_l2 using ({GK}) group by {GK}, a, b"""}
+         from v_cr join v_l2 using ({GK}) group by {GK}, a, b union all select unnest({T.MODES!r}), 0, 1, site, 1, 0, 1 from v_cnt"""}
 PREDS = {"v_pr": f"select {GK}, y, greatest(exp(a * ln(1 + p) + b) - 1, 0) * f as pr from v_test join v_pred using (site, oid) join v_fit using ({GK})"}
-TS = {"v_ts": f"""select {GK}, count(*) as n_test, case when var_pop(y) * count(*) >= 1e-10 then {R2('y', 'pr')} end as nse,
-        1 - sum(pow(ln(y) - ln(pr), 2)) filter (pr > 0) / (var_pop(ln(y)) filter (pr > 0) * count(*) filter (pr > 0)) as log_nse,
-        case when stddev_pop(pr) >= 1e-10 then 1 - sqrt(pow(covar_pop(y, pr) / nullif(stddev_pop(y) * stddev_pop(pr), 0) - 1, 2) + pow(stddev_pop(pr) / greatest(stddev_pop(y), 1e-10) - 1, 2)
-          + pow(avg(pr) / greatest(avg(y), 1e-10) - 1, 2)) end as kge, sqrt(avg(pow(y - pr, 2))) as rmse,
-        avg(case when pr / y between 0.5 and 2 then 1.0 else 0.0 end) as frac_within_2x, (avg(pr) - avg(y)) / avg(y) * 100 as bias_pct from v_pr group by all having count(*) >= 2"""}
-TSC = ["nse", "log_nse", "kge", "rmse", "frac_within_2x", "bias_pct"]
-TSQ = f"select {GK}, n_test, {rounded(TSC)} from v_ts"
-LINE_COLS = {"y": "y", "p": "p"}
+TS = {"v_ta": f"""select {GK}, count(*) as n_test, case when var_pop(y) * count(*) >= 1e-10 then {R2('y', 'pr')} end as nse,
+        case when count(*) filter (pr > 0) >= 2 and var_pop(ln(y)) filter (pr > 0) * count(*) filter (pr > 0) > 1e-10
+          then 1 - sum(pow(ln(y) - ln(pr), 2)) filter (pr > 0) / (var_pop(ln(y)) filter (pr > 0) * count(*) filter (pr > 0)) end as log_nse,
+        case when stddev_pop(pr) >= 1e-10 and stddev_pop(y) >= 1e-10 then 1 - sqrt(pow(covar_pop(y, pr) / nullif(stddev_pop(y) * stddev_pop(pr), 0) - 1, 2) + pow(stddev_pop(pr) / greatest(stddev_pop(y), 1e-10) - 1, 2)
+          + pow(avg(pr) / greatest(avg(y), 1e-10) - 1, 2)) end as kge, sqrt(avg(pow(y - pr, 2))) as rmse, quantile_cont(abs(y - pr) / y * 100, 0.5) as mape_pct,
+        avg(case when pr / y between 0.5 and 2 then 1.0 else 0.0 end) as frac_within_2x, (avg(pr) - avg(y)) / avg(y) * 100 as bias_pct, quantile_cont(abs(y - pr), 0.5) as median_abs_error
+        from v_pr group by all having count(*) >= 2""",
+      "v_tn": f"select {GK}, {R2('y', 'pr')} as nse from v_pr group by all having count(*) >= 2 and var_pop(y) * count(*) >= 1e-10",
+      "v_rk": f"""select {GK}, rank() over (partition by {GK} order by y) + (count(*) over (partition by {GK}, y) - 1) / 2.0 as ry,
+        rank() over (partition by {GK} order by pr) + (count(*) over (partition by {GK}, pr) - 1) / 2.0 as rp from v_pr""",
+      "v_rho": f"select {GK}, covar_pop(ry, rp) / nullif(stddev_pop(ry) * stddev_pop(rp), 0) as spearman_rho from v_rk group by all",
+      "v_ts": f"select v_ta.*, spearman_rho from v_ta join v_rho using ({GK})"}
+TSC = T.SCORES
+SCALED = ["nse", "log_nse", "kge", "rmse", "mape_pct", "bias_pct", "median_abs_error"]  # to significant digits: their size varies
 
 
-def ms(t):
-    return t.pred.select("site", "oid", "time", "y", F.col("turb").alias("x"), F.log1p("p").alias("p"))
+def shown(names, prefix=""):
+    return ", ".join(f"{'SIG' if x in SCALED else 'R'}({prefix}{x}) as {prefix}{x}" for x in names)
+
 
+def show(prefix=""):
+    return [(sig if x in SCALED else r)(prefix + x).alias(prefix + x) for x in TSC]
 
-def score(t, fits, pred, cols=("y", "p", "x")):
-    return T.trial_scores(T.scored(ms(t), fits, "site", "oid", "time", {c: c for c in cols}, pred, 7), "site")
 
+PS = {"v_ps": f"select mode, n, site, count(*) as n_trials, {', '.join(f'quantile_cont({c}, 0.5) as {c}' for c in TSC)} from v_ts where nse is not null group by mode, n, site",
+      "v_pn": "select mode, n, site, quantile_cont(nse, 0.5) as nse from v_tn group by mode, n, site"}
+PSQ = f"select mode, n, site, n_trials, {shown(TSC)} from v_ps"
 
-def show(d):
-    return d.select("mode", "n", "trial", "site", "n_test", *rsel(*TSC))
 
+def ms(t):
+    return t.pred.select("site", "oid", "time", "y", F.col("turb").alias("x"), F.log1p("p").alias("p"))
 
-SZ3 = CAL([1, 2, 10], 2, ("random", "temporal"))
 
+def score(t, fits, predict, cols=("y", "p")):
+    return T.trial_scores(ms(t), fits, "site", "oid", "time", {c: c for c in cols}, predict)
 
-# two-row lines can explode, so their scores are shown on bounded scales
-BOUND = ["nse", "log_nse", "kge"]
-BQ = f"select {GK}, n_test, {', '.join(f'R(1 / (2 - {c})) as n_{c}' for c in BOUND)}, R(ln(1 + rmse)) as log_rmse, R(frac_within_2x) as frac_within_2x from v_ts"
 
+def per_site(scores):
+    return T.over_trials(scores, "site").select("mode", "n", "site", "n_trials", *show())
 
-def bounded(d):
-    return d.select("mode", "n", "trial", "site", "n_test", *[r(1 / (2 - F.col(c))).alias(f"n_{c}") for c in BOUND],
-                    r(F.log1p("rmse")).alias("log_rmse"), *rsel("frac_within_2x"))
 
+BENCH = ("random", "temporal")
+SOME = CAL(T.SIZES[1:], T.TRIALS, BENCH)
 
-@query("reg_ols_benchmark", BQ, {**SZ3, **CR, **TS,
+
+@query("reg_ols_benchmark", PSQ, {**SOME, **CR, **TS, **PS,
        "v_b1": f"select {GK}, count(*) as k, avg(ln(1 + x)) as mx, avg(tm) as mt, covar_pop(ln(1 + x), tm) as cov, var_pop(ln(1 + x)) as var, avg(y) as my, any_value(y / x) as q from v_cr group by all",
-       "v_b2": f"select *, cov / nullif(var, 0) as a, mt - cov / nullif(var, 0) * mx as b from v_b1",
-       "v_fit": f"select {GK}, k, any_value(my) as my, any_value(q) as q, a, b, least(greatest(avg(exp(tm - b - a * ln(1 + x))), 0.5), 5) as f from v_cr join v_b2 using ({GK}) group by {GK}, k, a, b",
-       "v_pr": f"select {GK}, y, case when k = 1 then turb * q else greatest((exp(least(greatest(b + a * ln(1 + turb), 0), 20)) - 1) * f, 0) end as pr from v_test join v_pred using (site, oid) join v_fit using ({GK})"})
+       "v_b2": "select *, cov / nullif(var, 0) as a, mt - cov / nullif(var, 0) * mx as b from v_b1",
+       "v_fit": f"select {GK}, k, any_value(my) as my, any_value(q) as q, any_value(var) as var, a, b, least(greatest(avg(exp(least(tm - b - a * ln(1 + x), 700))), 0.5), 5) as f from v_cr join v_b2 using ({GK}) group by {GK}, k, a, b",
+       "v_pr": f"select {GK}, y, case when k = 1 then turb * q when var <= 1e-12 then my else greatest((exp(least(greatest(b + a * ln(1 + turb), 0), 20)) - 1) * f, 0) end as pr from v_test join v_pred using (site, oid) join v_fit using ({GK})"})
 def _(t):
-    return bounded(score(t, T.fit_benchmark(sets(t, [1, 2, 10], 2, ["random", "temporal"])), T.apply_benchmark()))
+    return per_site(score(t, T.fit_benchmark(sets(t, T.SIZES[1:], T.TRIALS, BENCH)), T.benchmark_matrix, ("y", "x")))
 
 
-@query("reg_ols_positive", BQ, {**SZ3, **CR, **TS,
+# a line through two close points can leave the range of doubles; such a trial has no defined score on either side
+@query("reg_ols_positive", PSQ, {**SOME, **CR, **TS, **PS,
        "v_b1": f"select {GK}, count(*) as k, avg(ln(x)) as mx, avg(ln(y)) as mt, covar_pop(ln(x), ln(y)) as cov, var_pop(ln(x)) as var, any_value(y / x) as q from v_cr group by all",
-       "v_pr": f"select {GK}, y, case when k = 1 then turb * q else exp(cov / var * ln(turb) + mt - cov / var * mx) end as pr from v_test join v_pred using (site, oid) join v_b1 using ({GK})"})
+       "v_b2": "select *, case when k > 1 and var <= 1e-12 then 0 else cov / var end as a from v_b1",
+       "v_p0": f"select {GK}, y, case when k = 1 then ln(turb * q) else a * ln(turb) + mt - a * mx end as lp from v_test join v_pred using (site, oid) join v_b2 using ({GK})",
+       "v_p1": f"select {GK} from v_p0 group by all having max(lp) > 354",
+       "v_pr": f"select {GK}, y, exp(lp) as pr from v_p0 anti join v_p1 using ({GK})"})
 def _(t):
-    return bounded(score(t, T.fit_positive(sets(t, [1, 2, 10], 2, ["random", "temporal"])), T.apply_positive()))
+    return per_site(score(t, T.fit_positive(sets(t, T.SIZES[1:], T.TRIALS, BENCH)), T.positive_matrix, ("y", "x")))
 
 
 @query("reg_slope_correction", """select oid, R(a * ln(1 + p) + b) as corrected from v_pred, (select covar_pop(ln(1 + p), ln(1 + y)) / var_pop(ln(1 + p)) as a,
@@ -136,12 +173,19 @@ def _(t):
     return G.slope_correction(d, "ty", "tp").select("oid", *rsel("corrected"))
 
 
-@query("reg_boxcox_lambda", """with g as (select lam, (lam - 1) * sum(l) - count(*) / 2.0::double * ln(var_pop(case when abs(lam) < 1e-9 then l else (exp(lam * l) - 1) / lam end)) as llf
-      from (select ln(1 + y) as l, unnest([i * 0.05::double - 1 for i in range(0, 41)]) as lam from v_pred) group by lam),
-    s as (select lam, llf, lag(llf) over (order by lam) as fm, lead(llf) over (order by lam) as fp from g)
-    select R(lam + 0.025 * (fm - fp) / nullif(fm - 2 * llf + fp, 0), 3) as lam from s order by llf desc limit 1""")
+def _finer(k: int, step: float) -> str:
+    """SQL: likelihood at 21 points around the best one of the level before."""
+    return f"""select lam, (lam - 1) * sum(l) - count(*) / 2.0::double * ln(var_pop((exp(lam * l) - 1) / lam)) as llf
+      from (select l, (select lam from v_k{k - 1} order by llf desc limit 1) + unnest(range(-10, 11)) * {step!r}::double as lam from v_kl) where abs(lam) > 1e-9 group by lam"""
+
+
+LAMBDA = {"v_kl": "select ln(1 + y) as l from v_pred", "v_k0": "select 0.0::double as lam, 0.0::double as llf", "v_k1": _finer(1, 0.2037), "v_k2": _finer(2, 0.0203), "v_k3": _finer(3, 0.00201), "v_k4": _finer(4, 0.0002)}
+
+
+@query("reg_boxcox_lambda", """select R(lam + 0.0001::double * (fm - fp) / nullif(fm - 2 * llf + fp, 0), 5) as lam
+    from (select lam, llf, lag(llf) over (order by lam) as fm, lead(llf) over (order by lam) as fp from v_k4) order by llf desc limit 1""", LAMBDA)
 def _(t):
-    return G.boxcox_lambda(t.pred, "y").select(r("lam", 3).alias("lam"))
+    return G.boxcox_lambda(t.pred, "y").select(r("lam", 5).alias("lam"))
 
 
 CMP = {**CAL([10], 50, ("random",)), **CR,
@@ -164,8 +208,7 @@ def _(t):
 def usgs_compare(t):
     from freshet.plans.compare import curve_versus_model
 
-    s = sets(t, [10], 50, ["random"])
-    return curve_versus_model(ms(t), s, "site", "oid", "time", 7)
+    return curve_versus_model(ms(t), sets(t, [10], T.TRIALS, ["random"]), "site", "oid", "time")
 
 
 @query("adapt_none", "select oid, R(greatest(exp(ln(1 + p)) - 1, 0) * (select avg(y) / avg(p) from v_pred), 3) as pred from v_pred")
@@ -177,9 +220,9 @@ def _(t):
     return d.select("oid", r(clip(X.inverse("pm", "log1p"), 0) * F.col("f"), 3).alias("pred"))
 
 
-@query("adapt_linear", TSQ, {**CAL([1, 5, 20], 2, ("random", "temporal")), **LIN, **PREDS, **TS})
+@query("adapt_linear", PSQ, {**CAL(), **LIN, **PREDS, **TS, **PS})
 def _(t):
-    return show(score(t, T.fit_linear(sets(t, [1, 5, 20], 2, ["random", "temporal"])), T.apply_line()))
+    return per_site(score(t, T.fit_linear(sets(t)), T.line_matrix()))
 
 
 def SHRINK(src: str, k: float = 15, extra: str = "") -> str:
@@ -188,12 +231,10 @@ def SHRINK(src: str, k: float = 15, extra: str = "") -> str:
       from (select {GK}{extra}, count(*) as kk, avg(res) as raw, stddev_pop(res) as sd, quantile_cont(abs(res - med), 0.5) as mad from (select *, quantile_cont(res, 0.5) over (partition by {GK}) as med from {src}) group by {GK}{extra}))"""
 
 
-@query("adapt_shrinkage", f"select {GK}, kk as n_cal, R(delta) as delta from v_sh", {**CAL([1, 3, 5, 20], 2, ("random", "seasonal")), **CR,
-       "v_res": "select *, tm - pm as res from v_cr", "v_sh": SHRINK("v_res")})
+@query("adapt_shrinkage", f"select {GK}, kk as n_cal, SIG(delta) as delta from v_sh", {**CAL(T.SIZES[1:]), **CR, "v_res": "select *, tm - pm as res from v_cr", "v_sh": SHRINK("v_res")})
 def _(t):
-    s = sets(t, [1, 3, 5, 20], 2, ["random", "seasonal"])
-    d = T.shrunk(s, F.transform("cal", lambda v: v["t"] - v["p"]), 15, 4, "delta")
-    return d.select("mode", "n", "trial", "site", F.size("cal").cast("long").alias("n_cal"), *rsel("delta"))
+    d = T.shrunk(sets(t, T.SIZES[1:]), F.transform("cal", lambda v: v["t"] - v["p"]), 15, 4, "delta")
+    return d.select("mode", "n", "trial", "site", F.size("cal").cast("long").alias("n_cal"), sig("delta").alias("delta"))
 
 
 BAY = {**CR, "v_l1": LIN["v_l1"],
@@ -204,18 +245,18 @@ BAY = {**CR, "v_l1": LIN["v_l1"],
          from v_cr join v_l3 using ({GK}) group by {GK}, a, delta, kk"""}
 
 
-def BAYES(sizes, trials, modes=("random", "temporal", "temporal_block", "seasonal")):
+def BAYES(sizes=T.SIZES, trials=T.TRIALS, modes=tuple(T.MODES)):
     zero = f" union all select unnest({list(modes)!r}), 0, 1, site, 1, 0, 1 from v_cnt" if 0 in sizes else ""
-    return {**CAL(sizes, trials, modes), **BAY, "v_fit": f"select {GK}, a, b, f from v_fit0{zero}", **PREDS, **TS}
+    return {**CAL(sizes, trials, modes), **BAY, "v_fit": f"select {GK}, a, b, f from v_fit0{zero}", **PREDS, **TS, **PS}
 
 
-def bayes_scores(t, sizes, trials, modes=T.MODES):
-    return score(t, T.fit_bayes(sets(t, sizes, trials, list(modes))), T.apply_line(), ("y", "p"))
+def bayes_scores(t, sizes=T.SIZES, trials=T.TRIALS, modes=T.MODES):
+    return score(t, T.fit_bayes(sets(t, sizes, trials, modes)), T.line_matrix())
 
 
-@query("adapt_bayes", TSQ, BAYES([0, 3, 10, 30], 2, ("random", "temporal")))
+@query("adapt_bayes", PSQ, BAYES())
 def _(t):
-    return show(bayes_scores(t, [0, 3, 10, 30], 2, ["random", "temporal"]))
+    return per_site(bayes_scores(t))
 
 
 @query("adapt_random_intercept", """with s as (select site, count(*) as n, avg(ln(1 + y) - ln(1 + p)) as m, var_pop(ln(1 + y) - ln(1 + p)) as v from v_pred group by site),
@@ -227,57 +268,49 @@ def _(t):
     return AD.random_intercepts(d, d, "site", "res").select("site", "n", *rsel("shrinkage", "intercept", d=6))
 
 
-CV = {**BAYES([0, 1, 5, 10, 30], 3),
-      "v_ps": "select mode, n, site, " + ", ".join(f"quantile_cont({c}, 0.5) as {c}" for c in TSC) + " from v_ts where nse is not null group by mode, n, site",
+CV = {**BAYES(),
       "v_cn": "select mode, n, site, nse, row_number() over (partition by mode, n order by DRAW('42', site), site) as rn, count(*) over (partition by mode, n) as m from v_ps where nse is not null",
-      "v_cb": """select mode, n, rep, quantile_cont(b.nse, 0.5) as x from (select mode, n, rep, DRAW('42', rep, rn) % m + 1 as pick from (select mode, n, rn, m, unnest(range(1, 201)) as rep from v_cn)) a
+      "v_cb": """select mode, n, rep, quantile_cont(b.nse, 0.5) as x from (select mode, n, rep, DRAW('42', rep, rn) % m + 1 as pick from (select mode, n, rn, m, unnest(range(1, 1001)) as rep from v_cn)) a
         join (select mode, n, rn, nse from v_cn) b using (mode, n) where b.rn = a.pick group by 1, 2, 3"""}
 
 
-@query("adapt_curve", "select * from (select mode, n, count(*) as n_sites, " + ", ".join(f"R(quantile_cont({c}, 0.5)) as median_{c}" for c in TSC) + " from v_ps group by 1, 2) join "
-       "(select mode, n, R(quantile_cont(x, 0.025)) as ci_lo, R(quantile_cont(x, 0.975)) as ci_hi from v_cb group by 1, 2) using (mode, n)", CV)
+@query("adapt_curve", f"select mode, n, n_sites, {shown(TSC, 'median_')}, SIG(ci_lo) as ci_lo, SIG(ci_hi) as ci_hi from (select mode, n, count(*) as n_sites, " + ", ".join(f"quantile_cont({c}, 0.5) as median_{c}" for c in TSC) + " from v_ps group by 1, 2) join "
+       "(select mode, n, quantile_cont(x, 0.025) as ci_lo, quantile_cont(x, 0.975) as ci_hi from v_cb group by 1, 2) using (mode, n)", CV)
 def _(t):
-    ps = settle(T.over_trials(bayes_scores(t, [0, 1, 5, 10, 30], 3), "site", TSC))
-    d = AD.curve(ps, "site", TSC, ["mode", "n"], reps=200)
-    return d.select("mode", "n", "n_sites", *rsel(*[f"median_{c}" for c in TSC], "ci_lo", "ci_hi"))
+    d = AD.curve(settle(T.over_trials(bayes_scores(t), "site")), "site", TSC, ["mode", "n"])
+    return d.select("mode", "n", "n_sites", *show("median_"), sig("ci_lo").alias("ci_lo"), sig("ci_hi").alias("ci_hi"))
 
 
-EFF = {**CAL([1, 5, 20], 5, ("random", "temporal")), **LIN, **PREDS, **TS}
+EFF = {**CAL(T.SIZES[1:], T.TRIALS, BENCH), **LIN, **PREDS, **TS}
 
 
-@query("adapt_effort_curve", "select mode, n, R(quantile_cont(nse, 0.5)) as nse_median, R(quantile_cont(nse, 0.25)) as nse_q25, R(quantile_cont(nse, 0.75)) as nse_q75, count(distinct site) as n_sites from v_ts group by 1, 2", EFF)
+@query("adapt_effort_curve", "select mode, n, SIG(quantile_cont(nse, 0.5)) as nse_median, SIG(quantile_cont(nse, 0.25)) as nse_q25, SIG(quantile_cont(nse, 0.75)) as nse_q75, count(distinct site) as n_sites from v_tn group by 1, 2", EFF)
 def _(t):
-    s = score(t, T.fit_linear(sets(t, [1, 5, 20], 5, ["random", "temporal"])), T.apply_line())
-    return AD.effort(s, ["mode", "n"], "site", "nse").select("mode", "n", "n_sites", *rsel("nse_median", "nse_q25", "nse_q75"))
-
+    s = score(t, T.fit_linear(sets(t, T.SIZES[1:], T.TRIALS, BENCH)), T.line_matrix()).where("nse is not null")
+    d = AD.effort(s, ["mode", "n"], "site", "nse")
+    return d.select("mode", "n", "n_sites", *[sig(f"nse_{x}").alias(f"nse_{x}") for x in ("median", "q25", "q75")])
 
-MONO = {**BAYES([0, 1, 2, 5, 10, 20], 2, ("random", "temporal")), "v_md": "select mode, n, quantile_cont(nse, 0.5) as m from v_ts group by 1, 2"}
 
-
-@query("adapt_monotone", "select mode, n_before, n, R(d) as decrease from (select mode, n, lag(n) over (partition by mode order by n) as n_before, lag(m) over (partition by mode order by n) - m as d from v_md) where d > 0", MONO)
+@query("adapt_monotone", "select mode, n_before, n, SIG(d, 4) as decrease from (select mode, n, lag(n) over (partition by mode order by n) as n_before, lag(m) over (partition by mode order by n) - m as d from (select mode, n, quantile_cont(nse, 0.5) as m from v_pn group by 1, 2)) where d > 0", BAYES())
 def _(t):
-    s = bayes_scores(t, [0, 1, 2, 5, 10, 20], 2, ["random", "temporal"])
-    return AD.monotone_breaks(medians(s, ["mode", "n"], m="nse"), ["mode"], "n", "m").withColumn("decrease", r("decrease"))
-
-
-DEL = {**BAYES([0, 10], 2, ("random",)), "v_ps": "select n, site, quantile_cont(nse, 0.5) as nse from v_ts where nse is not null group by n, site"}
+    s = T.over_trials(bayes_scores(t), "site", ["nse"])
+    return AD.monotone_breaks(medians(s, ["mode", "n"], m="nse"), ["mode"], "n", "m").withColumn("decrease", sig("decrease", 4))
 
 
-@query("adapt_delta", "select site, R(a.nse) as zero_shot, R(b.nse - a.nse) as gain from v_ps a join v_ps b using (site) where a.n = 0 and b.n = 10", DEL)
+@query("adapt_delta", "select mode, site, SIG(a.nse) as zero_shot, SIG(b.nse - a.nse, 4) as gain from v_pn a join v_pn b using (mode, site) where a.n = 0 and b.n = 10", BAYES([0, 10]))
 def _(t):
-    ps = T.over_trials(bayes_scores(t, [0, 10], 2, ["random"]), "site", ["nse"])
-    w = ps.groupBy("site").agg(F.max(F.when(F.col("n") == 0, F.col("nse"))).alias("zero_shot"), F.max(F.when(F.col("n") == 10, F.col("nse"))).alias("at10"))
-    return w.where("zero_shot is not null and at10 is not null").select("site", *rsel("zero_shot"), r(F.col("at10") - F.col("zero_shot")).alias("gain"))
+    ps = T.over_trials(bayes_scores(t, [0, 10]), "site", ["nse"])
+    w = ps.groupBy("mode", "site").agg(F.max(F.when(F.col("n") == 0, F.col("nse"))).alias("zero_shot"), F.max(F.when(F.col("n") == 10, F.col("nse"))).alias("at10"))
+    return w.where("zero_shot is not null and at10 is not null").select("mode", "site", sig("zero_shot").alias("zero_shot"), sig(F.col("at10") - F.col("zero_shot"), 4).alias("gain"))
 
 
-REP = {**BAYES([0, 5], 2, ("random", "temporal")), "v_ps": "select mode, n, site, quantile_cont(nse, 0.5) as nse from v_ts where nse is not null group by all"}
+AT = [(m, n) for m in T.MODES for n in T.SIZES]
 
 
-@query("agg_per_site_report", f"""select site, a.n as n_samples, {', '.join(f'R({c}) as {c}' for c in REPORT_COLS)}, r2_random_at_0, r2_random_at_5, r2_temporal_at_0, r2_temporal_at_5 from {REPORT('site')} a
-    left join (select site, """ + ", ".join(f"R(max(nse) filter (mode = '{m}' and n = {n})) as r2_{m}_at_{n}" for m in ("random", "temporal") for n in (0, 5)) + " from v_ps group by site) using (site)", REP)
+@query("agg_per_site_report", f"""select site, a.n as n_samples, {', '.join(f'R({c}) as {c}' for c in REPORT_COLS)}, {', '.join(f'r2_{m}_at_{n}' for m, n in AT)} from {REPORT('site')} a
+    left join (select site, """ + ", ".join(f"SIG(max(nse) filter (mode = '{m}' and n = {n})) as r2_{m}_at_{n}" for m, n in AT) + " from v_pn group by site) using (site)", BAYES())
 def _(t):
-    ps = T.over_trials(bayes_scores(t, [0, 5], 2, ["random", "temporal"]), "site", ["nse"])
-    cols = {f"r2_{m}_at_{n}": F.max(F.when((F.col("mode") == m) & (F.col("n") == n), F.col("nse"))) for m in ("random", "temporal") for n in (0, 5)}
-    wide = ps.groupBy("site").agg(*[r(e).alias(k) for k, e in cols.items()])
+    ps = T.over_trials(bayes_scores(t), "site", ["nse"])
+    wide = ps.groupBy("site").agg(*[sig(F.max(F.when((F.col("mode") == m) & (F.col("n") == n), F.col("nse")))).alias(f"r2_{m}_at_{n}") for m, n in AT])
     rep = M.full_report(t.pred, ["site"], "y", "p").select("site", F.col("n").alias("n_samples"), *rsel(*REPORT_COLS))
     return rep.join(wide, "site", "left")

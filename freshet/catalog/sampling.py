@@ -66,52 +66,59 @@ def _(t):
     return S.temporal_split(t.pred.select("oid", "site", "time"), "site", "time", "oid").select("oid", "is_train")
 
 
-def CAL(sizes: list[int], trials: int, modes=("random", "temporal", "temporal_block", "seasonal")) -> dict[str, str]:
+def CAL(sizes: list[int] = T.SIZES, trials: int = T.TRIALS, modes=tuple(T.MODES)) -> dict[str, str]:
     """SQL views: v_cal (mode, n, trial, site, oid) and v_test with the rows left to score."""
-    pos = [x for x in sizes if x]
-    sz = "[" + ", ".join(map(str, pos)) + "]"
-    zero = f"union all select mode, 0, 1, site, oid from v_pred, (select unnest({list(modes)!r}) as mode)" if 0 in sizes else ""
-    keep = ", ".join(f"'{m}'" for m in modes)
+    sz = "[" + ", ".join(str(x) for x in sizes if x) + "]"
+    cal = {
+        "random": "select 'random' as mode, n, trial, site, oid from v_rnd, v_size where rk <= n and n < ns",
+        "temporal": "select 'temporal' as mode, n, 1 as trial, site, oid from v_ord, v_size where rn <= n and n < ns",
+        "temporal_block": "select 'temporal_block' as mode, n, trial, b.site, oid from v_blk b join v_ord o on b.site = o.site and rn between s + 1 and s + n",
+        "seasonal": "select 'seasonal' as mode, n, trial, site, oid from v_srk, v_size where rk <= n and n < ns",
+    }
+    test = {
+        "random": "select 'random' as mode, n, trial, site, oid from v_rnd, v_size where rk > n",
+        "temporal": "select 'temporal' as mode, n, 1 as trial, site, oid from v_ord, v_size where rn > n",
+        "temporal_block": "select 'temporal_block' as mode, n, trial, b.site, oid from v_blk b join v_ord o on b.site = o.site where not rn between s + 1 and s + n",
+        "seasonal": f"""select 'seasonal' as mode, n, trial, site, oid from v_srk, v_size where rk > n and not ok
+            union all select 'seasonal', n, trial, site, oid from v_sea join v_seaok using (site) join v_cnt using (site), v_size, (select unnest(range(1, {trials} + 1)) as trial) where ok and not ins and n < ns""",
+    }
+    zero = [f"select unnest({list(modes)!r}) as mode, 0 as n, 1 as trial, site, oid from v_pred"] if 0 in sizes else []
     return {
         "v_cnt": "select site, count(*) as ns from v_pred group by site",
-        "v_ord": "select site, oid, month(time) as mon, row_number() over (partition by site order by time, oid) as rn from v_pred",
-        "v_tr": f"select site, oid, unnest(range(1, {trials} + 1)) as trial from v_pred",
-        "v_rnd": "select site, oid, trial, row_number() over (partition by site, trial order by DRAW('7', 'random', oid, trial), oid) as rk from v_tr",
+        "v_ord": "select site, oid, month(time) as mon, row_number() over (partition by site order by time, oid) as rn, count(*) over (partition by site) as ns from v_pred",
+        "v_tr": f"select site, oid, ns, unnest(range(1, {trials} + 1)) as trial from v_pred join v_cnt using (site)",
+        "v_rnd": "select site, oid, trial, ns, row_number() over (partition by site, trial order by DRAW('7', 'random', oid, trial), oid) as rk from v_tr",
         "v_peak": """select site, mon as pk from (select site, mon, count(*) as c, min(rn) as f from v_ord group by 1, 2)
             qualify row_number() over (partition by site order by c desc, f) = 1""",
         "v_sea": """select site, oid, mon in ((pk + 10) % 12 + 1, pk, pk % 12 + 1) as ins from v_ord join v_peak using (site)""",
         "v_seaok": "select site, count(*) filter (not ins) >= 2 as ok from v_sea group by site",
-        "v_srk": """select site, oid, trial, row_number() over (partition by site, trial order by DRAW('7', 'seasonal', oid, trial), oid) as rk
+        "v_srk": """select site, oid, trial, ns, ok, row_number() over (partition by site, trial order by DRAW('7', 'seasonal', oid, trial), oid) as rk
             from v_tr join v_sea using (site, oid) join v_seaok using (site) where ins or not ok""",
         "v_size": f"select unnest({sz}) as n",
         "v_blk": f"""select site, n, trial, DRAW('7', 'temporal_block', site, n, trial) % (ns - n + 1) as s from (select site, ns, n, unnest(range(1, {trials} + 1)) as trial from v_cnt, v_size where n < ns)
             where trial <= greatest(ns - n, 1)""",
-        "v_cal0": """select 'random' as mode, n, trial, site, oid from v_rnd, v_size where rk <= n
-            union all select 'temporal', n, 1, site, oid from v_ord, v_size where rn <= n
-            union all select 'temporal_block', n, trial, b.site, oid from v_blk b join v_ord o on b.site = o.site and rn between s + 1 and s + n
-            union all select 'seasonal', n, trial, site, oid from v_srk, v_size where rk <= n""",
-        "v_cal": f"select c.* from v_cal0 c join v_cnt using (site) where n < ns and mode in ({keep})",
-        "v_test": f"""select s.mode, s.n, s.trial, s.site, p.oid from (select distinct mode, n, trial, site from v_cal) s join v_sea p using (site) join v_seaok using (site)
-            where case when s.mode = 'seasonal' and ok then not ins else not exists (select 1 from v_cal c where c.mode = s.mode and c.n = s.n and c.trial = s.trial and c.oid = p.oid) end {zero}""",
+        "v_cal": " union all ".join(cal[m] for m in modes),
+        "v_test": " union all ".join([*(test[m] for m in modes), *zero]),
     }
 
 
-def sets(t, sizes, trials, modes=T.MODES):
+def sets(t, sizes=T.SIZES, trials=T.TRIALS, modes=T.MODES):
     d = t.pred.select("site", "oid", "time", F.col("turb").alias("x"), "y", F.log1p("p").alias("p"), F.log1p("y").alias("t"))
-    return T.calibration_sets(d, "site", "oid", "time", ["x", "y", "p", "t"], sizes, trials, modes, 7)
+    return T.calibration_sets(d, "site", "oid", "time", ["x", "y", "p", "t"], sizes, trials, list(modes), 7)
 
 
-@query("smp_calibration", "select mode, n, trial, site, oid from v_cal", CAL([1, 3, 10], 2))
+@query("smp_calibration", "select mode, n, trial, site, count(*) as n_cal, cast(sum(oid) as bigint) as oid_sum, min(oid) as oid_min, max(oid) as oid_max, R(avg(y)) as mean_y from v_cal join v_pred using (site, oid) group by mode, n, trial, site", CAL())
 def _(t):
-    return sets(t, [1, 3, 10], 2).select("mode", "n", "trial", "site", F.explode("cal.u").alias("oid"))
+    return sets(t).where("n > 0").selectExpr(
+        "mode", "n", "trial", "site", "cast(size(cal) as bigint) as n_cal", "aggregate(cal.u, 0L, (a, x) -> a + x) as oid_sum", "array_min(cal.u) as oid_min",
+        "array_max(cal.u) as oid_max", "aggregate(cal.y, 0D, (a, x) -> a + x) / size(cal) as mean_y").withColumn("mean_y", r("mean_y"))
 
 
-@query("smp_trials", """select c.mode, c.n, c.trial, c.site, n_cal, n_test from (select mode, n, trial, site, count(*) as n_cal from v_cal group by all) c
-    join (select mode, n, trial, site, count(*) as n_test from v_test group by all) using (mode, n, trial, site)""", CAL([1, 2, 5, 20], 3))
+@query("smp_trials", """select c.mode, c.n, c.trial, c.site, coalesce(n_cal, 0) as n_cal, n_test, R(test_mean) as test_mean from (select mode, n, trial, site, count(*) as n_test, avg(y) as test_mean from v_test join v_pred using (site, oid) group by all) c
+    left join (select mode, n, trial, site, count(*) as n_cal from v_cal group by all) d on c.mode = d.mode and c.n = d.n and c.trial = d.trial and c.site = d.site""", CAL())
 def _(t):
-    s = sets(t, [1, 2, 5, 20], 3).withColumn("n_cal", F.size("cal").cast("long"))
-    d = T.scored(t.pred, s, "site", "oid", "time", {"y": "y"}, F.lit(0.0), 7)
-    return d.groupBy("mode", "n", "trial", "site", "n_cal").agg(F.count("*").alias("n_test"))
+    d = T.split_sizes(t.pred.select("site", "oid", "time", "y"), sets(t), "site", "oid", "time", "y").where("n_test > 0")
+    return d.select("mode", "n", "trial", "site", "n_cal", "n_test", r("test_mean").alias("test_mean"))
 
 
 SUF = {**{k: v for k, v in BOOT.items() if k in ("v_num", "v_r2", "v_draws")},

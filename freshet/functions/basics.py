@@ -44,6 +44,15 @@ def r(x: str | Column, digits: int = 4) -> Column:
     return F.when(F.abs(v) < F.lit(float(1 << 53) / s), F.floor(v * F.lit(s) + F.lit(0.4873)) / F.lit(s)).otherwise(v)
 
 
+def sig(x: str | Column, digits: int = 6) -> Column:
+    """The value to so many significant digits: for numbers whose size is not known beforehand.
+
+    It is first moved by 1e-10 of itself, so that short decimals never tie.
+    """
+    v = c(x).cast("double") * F.lit(1.0 + 1e-10)
+    return F.when(v.isNotNull(), F.format_string(f"%.{digits - 1}e", v).cast("double"))
+
+
 def ratio(a: str | Column, b: str | Column) -> Column:
     """a / b, NULL where b is zero or missing."""
     return c(a).cast("double") / F.nullif(c(b).cast("double"), F.lit(0.0))

@@ -99,23 +99,41 @@ def qualifier_codes(raw: str | Column) -> Column:
     return F.filter(F.split(F.trim(bare), " "), lambda x: (x != "") & (x != "NONE") & (x != "NAN"))
 
 
-#: Forms of a local time: seconds may be missing or have a fraction, and dates may have slashes.
-LOCAL_FORMS = ["yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]", "yyyy-MM-dd H:mm", "yyyy/MM/dd H:mm[:ss]", "M/d/yyyy H:mm[:ss]", "yyyyMMdd HHmm"]
+#: A zone at the end of a time.
+ZONED = r"[0-9](Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
+def iso_layout(text: Column) -> Column:
+    """Date and time text as year, month, day with hyphens and the time with colons, told by where its separators stand.
+
+    Known layouts: ``2020-1-2 9:05``, ``2020-01-02T09:05:07.25Z``, ``2020/1/2 9:05``, ``1/2/2020 9:05:07`` (month first),
+    ``20200102 0905[07]``. Others come back as they are.
+    """
+    compact = F.regexp_replace(text, r"^([0-9]{4})([0-9]{2})([0-9]{2})[ T]?([0-9]{2}):?([0-9]{2}):?([0-9]{2})?", "$1-$2-$3 $4:$5:$6")
+    slashed = F.regexp_replace(text, "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})", "$3-$1-$2")
+    at = F.instr(text, "/")
+    return F.when(F.substring(text, 5, 1) == "-", text).when(at == 5, F.translate(text, "/", "-")).when(at > 0, slashed).otherwise(F.regexp_replace(compact, ":$", ""))
 
 
 def local_time(date: str, clock: str) -> Column:
-    """Date and time text in any of the known forms; NULL without a time of day or in another form."""
+    """Date and time text in any known layout, read once; NULL without a time of day, in another layout or off the calendar."""
     joined = F.concat_ws(" ", F.trim(date), F.nullif(F.trim(clock), F.lit("")))
-    return F.coalesce(*[F.try_to_timestamp(joined, F.lit(x)) for x in LOCAL_FORMS])
+    timed = joined.rlike("^.{6,10}[ T] *[0-9]")
+    return F.when(timed, iso_layout(joined).try_cast("timestamp"))
 
 
 def to_utc(date: str, clock: str, zone: str | Column) -> Column:
-    """Local date and time text plus zone abbreviation to UTC, NULL if unusable."""
-    return shift_hours(local_time(date, clock), lookup(TZ_HOURS, zone))
+    """Local date and time text plus zone abbreviation to UTC, NULL if unusable; a zone inside the text goes before the abbreviation."""
+    return shift_hours(local_time(date, clock), F.when(_zoned(date, clock), 0).otherwise(lookup(TZ_HOURS, zone)))
 
 
 def to_utc_state(date: str, clock: str, state: str) -> Column:
-    return shift_hours(local_time(date, clock), F.coalesce(lookup(STATE_HOURS, state), F.lit(STATE_DEFAULT_HOURS)))
+    hours = F.coalesce(lookup(STATE_HOURS, state), F.lit(STATE_DEFAULT_HOURS))
+    return shift_hours(local_time(date, clock), F.when(_zoned(date, clock), 0).otherwise(hours))
+
+
+def _zoned(date: str, clock: str) -> Column:
+    return F.coalesce(F.nullif(F.trim(clock), F.lit("")), F.trim(date)).rlike(ZONED)
 
 
 def shift_hours(local: Column, hours: Column) -> Column:

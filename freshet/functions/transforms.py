@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.basics import c, clip, ratio, with_scalar
@@ -40,6 +42,20 @@ def inverse(y: str | Column, kind: str, lam: float | None = None) -> Column:
     raise ValueError(f"unknown transform {kind!r}")
 
 
+def inverse_array(kind: str, lam: float | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """``inverse`` for numpy arrays inside a task."""
+    if kind == "log1p" or (kind == "boxcox" and lam == 0):
+        return np.expm1
+    if kind == "boxcox":
+        low = -1.0 / lam + 1e-10 if lam > 0 else -np.inf
+        return lambda y: np.clip((np.maximum(y, low) * lam + 1) ** (1.0 / lam) - 1, 0, NATIVE_MAX)
+    if kind == "sqrt":
+        return np.square
+    if kind == "none":
+        return lambda y: y
+    raise ValueError(f"unknown transform {kind!r}")
+
+
 def oxygen_saturation(temp_c: str | Column) -> Column:
     """Dissolved oxygen at saturation (mg/L, 1 atm) from clipped temperature."""
     # fixed values: published Benson-Krause coefficients

@@ -37,6 +37,7 @@ PLAIN = {
     "hydrlcondws": "hydraulic_conductivity", "bankfulldepthws": "bankfull_depth", "bankfullwidthws": "bankfull_width",
     "connws": "hydrologic_connectivity",
 }
+# fixed values: land cover sums and yearly columns
 SUMS = {
     "forest_pct": ["pctdecid2019ws", "pctconif2019ws", "pctmxfst2019ws"],
     "agriculture_pct": ["pctcrop2019ws", "pcthay2019ws"],
@@ -49,6 +50,8 @@ YEARLY = {
     "n_ags_{y}ws": ("n_ag_{y}", range(2000, 2018)),
     "p_ags_{y}ws": ("p_ag_{y}", range(2000, 2018)),
 }
+# fixed values: land cover kinds whose 2001 share is kept for changes since then
+COVER_2001 = ("pctdecid", "pctconif", "pctmxfst", "pctcrop", "pcthay", "pcturbhi", "pcturbmd", "pcturblo", "pcturbop")
 # fixed values: pruned feature -> (raw column, default when the column is absent)
 PRUNED = {
     "forest_pct": ("FORESTNLCD06", 0.0), "developed_pct": ("DEVNLCD06", 0.0), "clay_pct": ("CLAYAVE", None),
@@ -59,9 +62,17 @@ PRUNED = {
     "runoff_mean": ("RUNAVE7100", None), "stream_density": ("STREAMS_KM_SQ_KM", None), "n_dams": ("NDAMS_2009", 0.0),
     "dam_storage": ("STOR_NOR_2009", 0.0), "road_density": ("ROADS_KM_SQ_KM", None),
 }
+# fixed values: pruned text feature -> raw column
 PRUNED_TEXT = {"geol_class": "GEOL_HUNT_DOM_CODE", "reference_class": "CLASS", "ecoregion": "AGGECOREGION"}
 
 
+# fixed values: raw columns of which half must be there
+EXPECTED = (
+    "FORESTNLCD06", "CROPSNLCD06", "DEVNLCD06", "GEOL_HUNT_DOM_CODE", "CLAYAVE", "SANDAVE", "PERMAVE", "PPTAVG_BASIN",
+    "T_AVG_BASIN", "ELEV_MEAN_M_BASIN", "SLOPE_PCT", "BFI_AVE", "CLASS", "AGGECOREGION",
+)
+
+
 def column_or(df: DataFrame, name: str, default: float | None = None, kind: str = "double") -> Column:
     return F.col(name) if name in df.columns else F.lit(default).cast(kind)
 
@@ -75,14 +86,18 @@ def map_attributes(raw: DataFrame, site: str) -> DataFrame:
     cols += [column_or(low, x).alias(n) for x, n in {**PLAIN, **GEOLOGY}.items()]
     for pat, (name, years) in YEARLY.items():
         cols += [F.col(pat.format(y=y)).alias(name.format(y=y)) for y in years if pat.format(y=y) in low.columns]
+    cols += [F.col(f"{x}2001ws").alias(f"{x}_2001") for x in COVER_2001 if f"{x}2001ws" in low.columns]
     out = low.select(*cols)
     return out.withColumn("geol_class", dominant({n: n.removeprefix("pct_") for n in GEOLOGY.values()}))
 
 
 def prune_attributes(raw: DataFrame, site: str) -> DataFrame:
-    """Raw basin columns to the merged feature set; pruned input passes through."""
+    """Raw basin columns to the merged feature set; pruned input passes through, a table with few of the raw columns is an error."""
     if "forest_pct" in raw.columns and "FORESTNLCD06" not in raw.columns:
         return raw
+    found = [x for x in EXPECTED if x in raw.columns]
+    if 2 * len(found) < len(EXPECTED):
+        raise ValueError(f"only {len(found)} of {len(EXPECTED)} raw columns: {found}; the table has {raw.columns[:5]}")
     cols = [F.col(site)]
     cols += [column_or(raw, x, d).alias(n) for n, (x, d) in PRUNED.items()]
     cols += [column_or(raw, x, None, "string").alias(n) for n, x in PRUNED_TEXT.items()]

@@ -113,6 +113,11 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return g.select(*[F.col(x) if x in keys else F.col("_m")[x].alias(x) for x in df.columns])
 
 
+#: Distinct values that one slice should hold at most, and the parts that a fuller one is cut into.
+TARGET = 20_000
+PARTS = 256
+
+
 def _counted(df: DataFrame, by: list[str], values: list[Column]) -> DataFrame:
     """(by, column number, value) with its count and its slice number."""
     if len(values) == 1:
@@ -135,7 +140,7 @@ def _offsets(counted: DataFrame, by: list[str]) -> DataFrame:
     w = W.partitionBy(*by, "_c")
     return (
         counted.groupBy(*by, "_c", "_blk")
-        .agg(F.sum("_n").alias("_bn"))
+        .agg(F.sum("_n").alias("_bn"), F.count(F.lit(1)).alias("_bm"))
         .withColumn("_tot", F.sum("_bn").over(w))
         .withColumn(
             "_off",
@@ -144,6 +149,33 @@ def _offsets(counted: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def cut_crowded(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of slices with more than ``TARGET`` distinct values (``_bm``), cut into ``PARTS`` parts of like depth as ``_sub``.
+
+    The cuts are the slice's own quantiles, from sketches that tasks merge, so it does not matter how narrow
+    the range is that the values crowd in.
+    """
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("_v", [k / PARTS for k in range(1, PARTS)], 20 * PARTS).alias("_cuts"))
+    cut = rows.join(cuts, keys)
+    return cut.withColumn("_sub", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+
+
+def _with_ends(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``_end``, the position of a value's last copy in its group; slices come with ``_off`` and ``_bm``.
+
+    A slice is sorted as a whole, a crowded one part by part.
+    """
+    keys = [*by, "_c", "_blk"]
+    sums = lambda part: F.sum("_n").over(W.partitionBy(*part).orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
+    calm = rows.where(F.col("_bm") <= TARGET).withColumn("_end", F.col("_off") + sums(keys))
+    full = cut_crowded(rows.where(F.col("_bm") > TARGET), keys)
+    per = full.groupBy(*keys, "_sub").agg(F.sum("_n").alias("_sn"))
+    before = W.partitionBy(*keys).orderBy("_sub").rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(*keys, "_sub", F.coalesce(F.sum("_sn").over(before), F.lit(0)).alias("_so"))
+    full = full.join(per, [*keys, "_sub"]).withColumn("_end", F.col("_off") + F.col("_so") + sums([*keys, "_sub"]))
+    return calm.unionByName(full.select(*calm.columns))
+
+
 def quantiles(
     df: DataFrame, by: list[str], spec: dict[str, tuple[str | Column, float | Callable[[Column], Column]]]
 ) -> DataFrame:
@@ -176,9 +208,7 @@ def quantiles(
         here = " or ".join(f"({fn}{at} >= _off and {fn}{at} < _off + _bn)" for fn in ("floor", "ceil"))
         asked.append(f"case when _c = {i} and ({here}) then named_struct('name', '{name}', 'at', {at}) end")
     hist = hist.withColumn("_want", F.expr(f"filter(array({', '.join(asked)}), x -> x is not null)")).where("size(_want) > 0")
-    hit = counted.join(hist.select(*by, "_c", "_blk", "_off", "_want"), [*by, "_c", "_blk"])
-    w = W.partitionBy(*by, "_c", "_blk").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    hit = hit.withColumn("_end", F.col("_off") + F.sum("_n").over(w))
+    hit = _with_ends(counted.join(hist.select(*by, "_c", "_blk", "_off", "_bm", "_want"), [*by, "_c", "_blk"]), by)
     at = hit.selectExpr(*[f"`{x}`" for x in by], "_v", "_end - _n as _start", "_end", "inline(_want) as (_name, _at)")
     low, high = "floor(_at) >= _start and floor(_at) < _end", "ceil(_at) >= _start and ceil(_at) < _end"
     at = at.where(f"({low}) or ({high})")
@@ -206,10 +236,8 @@ def average_rank(df: DataFrame, by: list[str], ranks: dict[str, str], ties: str
     adds the size of the tie group of the first column.
     """
     counted = _counted(df, by, [F.col(v) for v in ranks.values()])
-    ranked = counted.join(_offsets(counted, by).drop("_bn", "_tot"), [*by, "_c", "_blk"])
-    w = W.partitionBy(*by, "_c", "_blk").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    end = F.col("_off") + F.sum("_n").over(w)
-    ranked = ranked.select(*by, "_c", "_v", "_n", (end - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)).alias("_rank"))
+    ranked = _with_ends(counted.join(_offsets(counted, by).drop("_bn", "_tot"), [*by, "_c", "_blk"]), by)
+    ranked = ranked.select(*by, "_c", "_v", "_n", (F.col("_end") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)).alias("_rank"))
     out = df
     for i, (name, col) in enumerate(ranks.items()):
         extra = [F.col("_n").alias(ties)] if ties and i == 0 else []

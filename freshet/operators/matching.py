@@ -117,7 +117,7 @@ def last_known(
     slice_s: float,
     prefix: str = "",
 ) -> DataFrame:
-    """Latest visit at or before each sample, however long ago (NULL if none)."""
+    """Latest visit at or before each sample, however long ago (NULL if none); of several at one time the greatest by ``carry``."""
     payload = F.struct(F.col(v_time).alias("t"), *carry)
     a = samples.select(
         *by,
@@ -129,7 +129,7 @@ def last_known(
     b = visits.select(*by, micros(v_time).alias("_t"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_id"), payload.alias("_v"))
     u = a.unionByName(b, allowMissingColumns=True)
     block = F.floor(F.col("_t") / F.lit(int(slice_s * 1e6)))
-    o = ordered(u, by, ["_t", "_kind", "_id"], block, last={"_hit": F.col("_v")})
+    o = ordered(u, by, ["_t", "_kind", "_id", "_v"], block, last={"_hit": F.col("_v")})
     return o.where(F.col("_kind") == 1).select(
         "_s.*", F.col("_hit.t").alias(prefix + v_time), *[F.col("_hit")[x].alias(prefix + x) for x in carry]
     )

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import c, clip, spread_join, with_scalar
+from freshet.functions import transforms as X
+from freshet.functions.basics import c, clip, settle, spread_join, with_scalar
 from freshet.operators import metrics as M
+from freshet.operators.blocks import quantiles
 
 TINY = 1e-10
 
@@ -77,25 +81,42 @@ def slope_correction(df: DataFrame, y: str, p: str, out: str = "corrected") -> D
     return with_scalar(df, fit).withColumn(out, F.col("slope") * F.col(p) + F.col("intercept"))
 
 
-def boxcox_lambda(df: DataFrame, value: str, lo: float = -1.0, hi: float = 1.0, step: float = 0.05) -> DataFrame:
-    """Maximum-likelihood lambda of (1 + x): one pass over a grid, then the vertex of a
-    parabola through the best three points."""
-    k = round((hi - lo) / step)
-    grid = F.array(*[F.lit(round(lo + i * step, 10)) for i in range(k + 1)])
-    d = df.where(F.col(value).isNotNull()).select(F.ln(F.col(value) + 1).alias("_l")).withColumn("lam", F.explode(grid))
-    z = F.when(F.abs("lam") < 1e-9, F.col("_l")).otherwise((F.exp(F.col("lam") * F.col("_l")) - 1) / F.when(F.abs("lam") < 1e-9, 1.0).otherwise(F.col("lam")))
-    g = d.groupBy("lam").agg(F.count("*").alias("_n"), F.sum("_l").alias("_s"), F.var_pop(z).alias("_v"))
-    g = g.withColumn("llf", (F.col("lam") - 1) * F.col("_s") - F.col("_n") / 2 * F.ln("_v"))
-    # at most a few dozen grid points are left here
-    best = g.agg(F.max_by("lam", F.struct("llf", F.col("lam"))).alias("_b"))
-    near = with_scalar(g, best).agg(
-        F.max("_b").alias("_b"), F.max(F.when(F.abs(F.col("lam") - F.col("_b")) < step / 2, F.col("llf"))).alias("_f0"),
-        F.max(F.when(F.abs(F.col("lam") - F.col("_b") + step) < step / 2, F.col("llf"))).alias("_fm"),
-        F.max(F.when(F.abs(F.col("lam") - F.col("_b") - step) < step / 2, F.col("llf"))).alias("_fp"),
-    )
-    bend = F.col("_fm") - 2 * F.col("_f0") + F.col("_fp")
-    move = F.lit(step / 2) * (F.col("_fm") - F.col("_fp")) / F.nullif(bend, F.lit(0.0))
-    return near.select((F.col("_b") + F.coalesce(move, F.lit(0.0))).alias("lam"))
+def _likelihood(logs: DataFrame, middle: float, points: list[float]) -> dict[float, float]:
+    """Box-Cox log-likelihood of (1 + x) at a few lambdas, from one aggregate over ln(1 + x).
+
+    Logs are taken about their mean, which keeps large lambdas from losing all digits.
+    """
+    z = [F.col("_l") - middle if abs(k) < 1e-9 else F.expm1((F.col("_l") - middle) * k) / k for k in points]
+    row = logs.agg(F.count("*").alias("n"), F.sum("_l").alias("s"), *[F.var_pop(e).alias(f"v{i}") for i, e in enumerate(z)]).first()
+    return {k: (k - 1) * row["s"] - row["n"] / 2 * (math.log(row[f"v{i}"]) + 2 * k * middle) for i, k in enumerate(points) if row[f"v{i}"]}
+
+
+def boxcox_lambda(df: DataFrame, value: str, lo: float = -1.0, hi: float = 1.0, points: int = 17, width: float = 4e-4) -> DataFrame:
+    """Maximum-likelihood lambda of (1 + x), one row; NULL where the values have no spread.
+
+    Each pass is one aggregate at a few points of a bracket, which then shrinks to the neighbours of the best point, or moves
+    on if that is an end. The vertex of the parabola through the last three points follows, as by then rounding in the
+    likelihood hides smaller steps.
+    """
+    logs = df.where(F.col(value) > -1).select(F.ln(F.col(value) + 1).alias("_l"))
+    middle, best = logs.agg(F.avg("_l")).first()[0], None
+    for _ in range(60 if middle is not None else 0):
+        step = (hi - lo) / (points - 1)
+        at = [lo + i * step for i in range(points)]
+        ll = _likelihood(logs, middle, at)
+        if len(ll) < points:
+            break
+        top = max(range(points), key=lambda i: ll[at[i]])
+        best = at[top]
+        if top in (0, points - 1):
+            lo, hi = best - (hi - lo) / 2, best + (hi - lo) / 2
+            continue
+        if step <= width:
+            a, b, c_ = (ll[at[top + i]] for i in (-1, 0, 1))
+            best += step / 2 * (a - c_) / (a - 2 * b + c_)
+            break
+        lo, hi = best - step, best + step
+    return df.sparkSession.range(1).select(F.lit(best).cast("double").alias("lam"))
 
 
 # --- ridge over Gram sums ------------------------------------------------------------------
@@ -109,10 +130,11 @@ def design(df: DataFrame, numeric: list[str], cats: dict[str, list[str]]) -> tup
     return df.withColumns(dict(zip(names, cols))), names
 
 
-def gram(df: DataFrame, by: list[str], names: list[str], y: str) -> DataFrame:
-    """Per group the sums of all products of the design columns and the target."""
+def gram(df: DataFrame, by: list[str], names: list[str], y: str, weight: str | None = None) -> DataFrame:
+    """Per group the sums of all products of the design columns and the target; a row counts ``weight`` times."""
     v = [*names, y]
-    prods = [F.sum(F.col(v[i]) * F.col(v[j])) for i in range(len(v)) for j in range(i, len(v))]
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    prods = [F.sum(F.col(v[i]) * F.col(v[j]) * w) for i in range(len(v)) for j in range(i, len(v))]
     return df.groupBy(*by).agg(F.array(*prods).alias("g"))
 
 
@@ -141,7 +163,7 @@ def ridge_without(total: np.ndarray, own: np.ndarray, d: int, alpha: float) -> n
 
 
 def ridge_leave_out(grams: DataFrame, key: str, d: int, alpha: float = 1.0) -> DataFrame:
-    """Per group: ridge coefficients of the complement and the ratio factor sum(y^2)/sum(p^2).
+    """Per group the ridge coefficients of its complement.
 
     Only Gram rows (one per group, fixed length) reach Python; the solve is one numpy
     call per batch.
@@ -153,28 +175,111 @@ def ridge_leave_out(grams: DataFrame, key: str, d: int, alpha: float = 1.0) -> D
         for pdf in batches:
             if pdf.empty:
                 continue
-            own, tot = np.stack(pdf["g"]), np.stack(pdf["tot"])[0]
-            w = ridge_without(tot, own, d, alpha)
-            full = _square(tot[None, :] - own, d + 1)
-            pp = np.einsum("ni,nij,nj->n", w, full[:, :-1, :-1], w)
-            yield pd.DataFrame({key: pdf[key], "coef": list(w), "factor": full[:, -1, -1] / pp})
+            w = ridge_without(np.stack(pdf["tot"])[0], np.stack(pdf["g"]), d, alpha)
+            yield pd.DataFrame({key: pdf[key], "coef": list(w)})
 
     kind = dict(grams.dtypes)[key]
-    return with_scalar(grams, total).mapInPandas(solve, f"{key} {kind}, coef array<double>, factor double")
+    return with_scalar(grams, total).mapInPandas(solve, f"{key} {kind}, coef array<double>")
 
 
-def ridge_logo(df: DataFrame, site: str, numeric: list[str], cats: dict[str, list[str]], y: str, alpha: float = 1.0, min_test: int = 5) -> DataFrame:
-    """Leave-one-site-out ridge on a square-root target with ratio correction.
+#: Folds whose coefficients are held at once while all rows are scored by them.
+FOLDS = 4096
 
-    Both the coefficients and the correction come from sums, so no fold reads the rows
-    of other sites. Metrics per site in model and native space.
+
+def fold_factors(rows: DataFrame, fits: DataFrame, key: str, names: list[str], kind: str, lam: float | None) -> DataFrame:
+    """``(key, factor)``: each fold's bias correction over its training rows, all but its own.
+
+    log1p: mean of exp(residual); other targets: mean observed over mean predicted in native units. Every row is scored by every
+    fold, as the definition asks, in tasks that add up one number pair a fold; the fold's own rows are then
+    taken off. Folds go ``FOLDS`` at a time, so what is sent out has a fixed size.
+    """
+    sc, back = rows.sparkSession.sparkContext, X.inverse_array(kind, lam)
+    folds = settle(fits.select(key, "coef"))
+    kind_of = dict(folds.dtypes)[key]
+    keys = [r[0] for r in folds.select(key).orderBy(key).collect()]  # one number a fold
+
+    def sums(yt: np.ndarray, y: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if kind == "log1p":
+            return np.exp(yt - p), np.ones_like(p)
+        return np.broadcast_to(y, p.shape), back(p)
+
+    def total(mat: np.ndarray) -> Callable:
+        held = sc.broadcast(mat)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            top = np.zeros((2, held.value.shape[0]))
+            for pdf in batches:
+                for i in range(0, len(pdf), 1024):
+                    one = pdf.iloc[i : i + 1024]
+                    a, b = sums(one["_y"].to_numpy()[:, None], one["_native"].to_numpy()[:, None], one[names].to_numpy() @ held.value.T)
+                    top += np.stack([a.sum(0), b.sum(0)])
+            yield pd.DataFrame({"i": np.arange(top.shape[1]), "a": top[0], "b": top[1]})
+
+        return run
+
+    out = []
+    for lo in range(0, len(keys), FOLDS):
+        some = keys[lo : lo + FOLDS]
+        coefs = {r[0]: r[1] for r in folds.where(F.col(key).between(some[0], some[-1])).collect()}
+        run = total(np.array([coefs[k] for k in some]))
+        got = rows.mapInPandas(run, "i long, a double, b double").groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        out.append(got.select(F.get(F.lit(some).cast(f"array<{kind_of}>"), F.col("i").cast("int")).alias(key), "a", "b"))
+    return reduce(lambda x, z: x.unionByName(z), out)
+
+
+def ridge_logo(
+    df: DataFrame, site: str, numeric: list[str], cats: dict[str, list[str]], y: str, alpha: float = 1.0, min_test: int = 5, kind: str = "sqrt",
+    lam: float | None = None, weight: str | None = None,
+) -> DataFrame:
+    """Leave-one-site-out ridge on a transformed target (``sqrt``, ``log1p`` or ``boxcox``) with bias correction.
+
+    Missing numerics take the median of all rows before anything is summed, missing categories are a category of their own, rows
+    without a target are left out, ``weight`` weighs rows in the fit. Coefficients come from sums, so no fold reads the
+    rows of other sites; the correction of sqrt does so too, the others go over the rows once (``fold_factors``).
+    Metrics per site in model and native space.
     """
-    d, names = design(df, numeric, cats)
-    d = d.withColumn("_y", F.sqrt(clip(y, 0.0)))
-    fits = ridge_leave_out(gram(d, [site], names, "_y"), site, len(names), alpha)
-    s = spread_join(d, fits, [site])
-    s = s.withColumn("_p", sum((F.col(z) * F.col("coef")[i] for i, z in enumerate(names)), F.lit(0.0)))
-    s = s.withColumn("_pn", F.col("_p") * F.col("_p") * F.col("factor"))
+    d = df.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
+    num = [c(x).cast("double") for x in numeric]
+    d = d.withColumns({x: F.when(~F.isnan(e), e) for x, e in zip(numeric, num)})
+    if numeric:
+        d = with_scalar(d, quantiles(d, [], {f"_med_{x}": (x, 0.5) for x in numeric}))
+        d = d.withColumns({x: F.coalesce(x, f"_med_{x}") for x in numeric}).drop(*[f"_med_{x}" for x in numeric])
+    d, names = design(d, numeric, cats)
+    d = d.withColumn("_native", clip(y, 0.0)).withColumn("_y", X.forward("_native", kind, lam))
+    fits = ridge_leave_out(gram(d, [site], names, "_y", weight), site, len(names), alpha)
+    if kind == "sqrt":
+        own = gram(d, [site], names, "_y")
+        factor = ratio_factors(own, fits, site, len(names))
+    else:
+        rows = d.select(site, "_y", "_native", *names)
+        all_ = fold_factors(rows, fits, site, names, kind, lam)
+        mine = spread_join(rows, fits, [site]).withColumn("_p", _predicted(names))
+        a, b = (F.exp(F.col("_y") - F.col("_p")), F.lit(1.0)) if kind == "log1p" else (F.col("_native"), X.inverse("_p", kind, lam))
+        mine = mine.groupBy(site).agg(F.sum(a).alias("_a"), F.sum(b).alias("_b"))
+        factor = all_.join(mine, site).select(site, ((F.col("a") - F.col("_a")) / F.nullif(F.col("b") - F.col("_b"), F.lit(0.0))).alias("factor"))
+    fits = fits.join(factor, site)
+    s = spread_join(d, fits, [site]).withColumn("_p", _predicted(names))
+    s = s.withColumn("_pn", clip(X.inverse("_p", kind, lam) * F.col("factor"), 0.0))
     a = M.site_skill(s, [site], "_y", "_p", ["n", "r2", "kge"])
-    b = M.site_skill(s, [site], y, "_pn", ["r2", "rmse", "pbias"]).withColumnsRenamed({x: f"{x}_native" for x in ("r2", "rmse", "pbias")})
+    b = M.site_skill(s, [site], "_native", "_pn", ["r2", "rmse", "pbias"]).withColumnsRenamed({x: f"{x}_native" for x in ("r2", "rmse", "pbias")})
     return a.where(F.col("n") >= min_test).join(b, site).join(fits.select(site, "factor"), site)
+
+
+def _predicted(names: list[str]) -> Column:
+    return sum((F.col(z) * F.col("coef")[i] for i, z in enumerate(names)), F.lit(0.0))
+
+
+def ratio_factors(grams: DataFrame, fits: DataFrame, key: str, d: int) -> DataFrame:
+    """``(key, factor)``: sum(y^2) / sum(p^2) over each group's complement, both from Gram sums."""
+    size = (d + 1) * (d + 2) // 2
+    total = grams.agg(F.array(*[F.sum(F.col("g")[i]) for i in range(size)]).alias("tot"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            full = _square(np.stack(pdf["tot"]) - np.stack(pdf["g"]), d + 1)
+            w = np.stack(pdf["coef"])
+            yield pd.DataFrame({key: pdf[key], "factor": full[:, -1, -1] / np.einsum("ni,nij,nj->n", w, full[:, :-1, :-1], w)})
+
+    return with_scalar(grams.join(fits, key), total).mapInPandas(solve, f"{key} {dict(grams.dtypes)[key]}, factor double")

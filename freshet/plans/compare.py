@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.operators import metrics as M, trials as T
 
 
-def curve_versus_model(rows: DataFrame, sets: DataFrame, site: str, uid: str, t: str, seed: int) -> DataFrame:
+def curve_versus_model(rows: DataFrame, sets: DataFrame, site: str, uid: str, t: str) -> DataFrame:
     """Both methods on the same calibration rows; medians over trials and their difference.
 
     Both fits travel in one list per site, so rows are expanded and tested once.
@@ -15,7 +15,7 @@ def curve_versus_model(rows: DataFrame, sets: DataFrame, site: str, uid: str, t:
     curve = {"a": "u_a", "b": "u_b", "f": "u_f"}
     fits = T.fit_log10(sets.withColumn("_all", F.col("cal"))).withColumn("cal", F.col("_all")).drop("_all").withColumnsRenamed(curve)
     fits = T.fit_linear(fits, recentre=False, floor=1e-6)
-    d = T.scored(rows, fits, site, uid, t, {c: c for c in ("y", "p", "x")}, T.apply_line(), seed)
+    d = T.scored(rows, fits, site, uid, t, {c: c for c in ("y", "p", "x")}, T.apply_line())
     u = F.when(F.col("x") > 0, F.pow(F.lit(10.0), F.col("u_b") + F.col("u_a") * F.log10("x")) * F.col("u_f"))
     d = d.withColumnRenamed("n", "n_cal").withColumn("_curve", u)
     keys = [site, "mode", "n_cal", "trial"]

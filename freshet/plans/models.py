@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from freshet.functions import transforms as X
 from freshet.functions.basics import clip, settle, with_scalar
@@ -41,14 +41,22 @@ def prepare(
     paired: DataFrame, split: DataFrame, basic: DataFrame, shed: DataFrame, features: list[str], categorical: list[str],
     kind: str, lam: float | None, role: str = "training", uid: str = "oid",
 ) -> tuple[DataFrame, DataFrame]:
-    """load, split, transform, tier, clean, dedupe, order - with row counts per step."""
-    chosen = joins.by_role(paired, split, "site", role).withColumn("target", X.forward("y", kind, lam))
-    tier = joins.feature_tiers(chosen, basic, shed)["C"]
-    clean = keep_first(tier.where("target is not null"), ["site", "time"], [uid])
+    """load, split, transform, tier, clean, dedupe, order - with the row count of each step (``step, stage, n_rows``).
+
+    The counts are observed in the job that writes the prepared rows; no step runs a second time for them.
+    """
+    seen: list[tuple[str, Observation]] = []
+
+    def observed(d: DataFrame, stage: str) -> DataFrame:
+        seen.append((stage, Observation(stage)))
+        return d.observe(seen[-1][1], F.count(F.lit(1)).alias("n_rows"))
+
+    chosen = observed(joins.by_role(observed(paired, "loaded"), split, "site", role), "split").withColumn("target", X.forward("y", kind, lam))
+    tier = observed(joins.feature_tiers(chosen, basic, shed)["C"], "merged")
+    clean = settle(observed(keep_first(tier.where("target is not null"), ["site", "time"], [uid]), "selected"))
+    counts = [(i, stage, o.get["n_rows"]) for i, (stage, o) in enumerate(seen)]
     out = select_features(clean, features, categorical, ["site", "time", "y", "target"])
-    steps = {"loaded": paired, "split": chosen, "merged": tier, "selected": clean}
-    counts = [d.agg(F.count("*").alias("n_rows")).select(F.lit(i).alias("step"), F.lit(n).alias("stage"), "n_rows") for i, (n, d) in enumerate(steps.items())]
-    return out.orderBy("site", "time"), reduce(lambda a, b: a.unionByName(b), counts)
+    return out.orderBy("site", "time"), paired.sparkSession.createDataFrame(counts, "step int, stage string, n_rows long")
 
 
 # --- pipelines ------------------------------------------------------------------------------
