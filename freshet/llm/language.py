@@ -5,11 +5,12 @@ from __future__ import annotations
 import dataclasses
 import functools
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from freshet.llm.common import batches
 
@@ -133,7 +134,8 @@ def ridge(sets: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS,
     root = vector[:, good] / np.sqrt(value[good])
     x = k @ root
     y = np.array([[1.0 if lang == name else -1.0 for name in labels] for lang in langs]).reshape(len(langs), len(labels))
-    weight = np.array([1 / langs.count(lang) for lang in langs])[:, None]
+    count = Counter(langs)
+    weight = np.array([1 / count[lang] for lang in langs])[:, None]
     weight = weight / max(weight.sum(), 1e-300)
     mean_x, mean_y = (weight * x).sum(0), (weight * y).sum(0)
     xc, yc = x - mean_x, y - mean_y
@@ -198,6 +200,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", label: str = "lan
     return src.mapInArrow(run, src.drop("_text_in").schema.add(label, T.StringType()).add(score, T.DoubleType()))
 
 
+def lettered(text: str) -> Column:
+    """Whether a text holds a letter; false for NULL. What ``predict`` would label if it had learned a language."""
+    return F.coalesce(F.rlike(F.col(f"`{text}`"), F.lit(r"\p{L}")), F.lit(False))
+
+
 def held_out(key: str):
     """Every fourth document by the checksum of its id: never learned from."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -133,6 +133,7 @@ def test_fingerprint_query(docs, none, spark, table, monkeypatch):
     bag = collections.defaultdict(list)
     for r in got:
         bag[r.doc_id].append(r)
+    made = {}
     for k, (i, *_) in enumerate(rows):
         if i in (7, 8) or rows[(k + 1) % len(rows)][0] in (7, 8):
             continue  # equal ids: the order is that of their hashes
@@ -141,10 +142,16 @@ def test_fingerprint_query(docs, none, spark, table, monkeypatch):
         edited = t[: len(t) - third] + nxt[:third]
         (r,) = bag[i]
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert r.near_edited == (1.0 if counts(t) == counts(edited) else r.near_edited)
+        made[i] = edited
+        assert r.near_edited == sum(r.fingerprint[8 * j : 8 * j + 8] == r.edited_fingerprint[8 * j : 8 * j + 8] for j in range(32)) / 32
+        assert r.near_edited == 1.0 or counts(t) != counts(edited)
         if k + 1 < len(rows) and rows[k + 1][0] is not None:
             assert r.near_next == sum(r.fingerprint[8 * j : 8 * j + 8] == bag[rows[k + 1][0]][0].fingerprint[8 * j : 8 * j + 8] for j in range(32)) / 32
     by = {r.doc_id: r for r in got}
+    again = spark.createDataFrame([(i, x) for i, x in made.items() if i is not None], "doc_id long, text string")
+    seen = {r.doc_id: r.fingerprint for r in fingerprints.compared(again).collect()}
+    assert len(seen) > 20 and all(by[i].edited_fingerprint == x for i, x in seen.items())  # an edit counts as a text of its own
+    assert any(r.near_edited < 1 for r in got)
     assert by[1].fingerprint == by[3].fingerprint and by[4].fingerprint == by[10].fingerprint == "-" * 256
     assert QUERIES["op10_weighted_sampling"](spark, table(none)).count() == 0
     one = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")

@@ -48,6 +48,34 @@ def test_kernel_is_the_presence_kernel():
     assert np.allclose(k, want, atol=1e-6) and known.tolist() == [True] * 4 + [False]
 
 
+def test_ridge_is_the_weighted_least_squares_fit():
+    langs = ["en"] * 12 + ["fr"] * 7 + ["de"] * 5
+    sets = [set(language.buckets(spoken(x, i)).tolist()) for i, x in enumerate(langs)]
+    model = language.ridge([np.array(sorted(s), np.int64) for s in sets], langs, landmarks=4)
+    marks = sets[:4] + sets[12:16] + sets[19:23]
+    among, k = (np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in marks] for a in rows]) for rows in (marks, sets))
+    x = np.linalg.solve(np.linalg.cholesky(among), k.T).T
+    weight = np.sqrt([1 / langs.count(a) / 3 for a in langs])[:, None]
+    y = np.array([[1.0 if a == b else -1.0 for b in ("de", "en", "fr")] for a in langs])
+    penalty = np.hstack([np.sqrt(language.RIDGE / len(langs)) * np.eye(12), np.zeros((12, 1))])
+    a = np.vstack([weight * np.hstack([x, np.ones((24, 1))]), penalty])
+    w = np.linalg.lstsq(a, np.vstack([weight * y, np.zeros((12, 3))]), rcond=None)[0]
+    want = np.hstack([x, np.ones((24, 1))]) @ w
+    texts = [spoken(a, i) for i, a in enumerate(langs)]
+    got, _ = model.scores(texts)
+    assert model.labels == ["de", "en", "fr"] and np.allclose(got, want, atol=1e-3)
+    names, score = model.predict(texts)
+    top = np.sort(want, 1)
+    assert names == [model.labels[j] for j in want.argmax(1)] and np.allclose(score, np.clip((top[:, 2] - top[:, 1]) / 2, 0, 1), atol=1e-3)
+
+
+def test_corpus_without_labels_keeps_what_has_letters(spark, docs):
+    for df in (docs.withColumn("lang", F.lit(None).cast("string")), docs.where(language.held_out("doc_id"))):
+        left = corpus_pipeline.languages(spark, df, "")
+        want = [r.doc_id for r in df.collect() if any(c.isalpha() for c in r.text or "")]
+        assert want and sorted(map(str, want)) == sorted(str(r.doc_id) for r in left.collect()) and left.dtypes == df.dtypes
+
+
 def test_fit_does_not_depend_on_the_partitions(spark, docs):
     rows = [(i, spoken(lang, 7 * i + j), lang, "s", 0) for i in range(40) for j, lang in enumerate(SYLLABLES)]
     df = spark.createDataFrame(rows, docs.schema)
