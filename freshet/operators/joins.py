@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import clip, micros, spread_join
+from freshet.functions.basics import clip, micros, settle, spread_join
 from freshet.functions.normalize import region_code
 from freshet.operators.blocks import keep_first, medians
 
@@ -90,24 +90,46 @@ def event_days(events: DataFrame, keys: list[str], start: str, end: str, day: st
     return events.select(*keys, F.explode(F.sequence(F.to_date(start), F.to_date(end))).alias(day))
 
 
+#: Points that a cell should hold at most where the search for the nearest one begins, and how often cells are halved for that.
+CELL_POINTS = 64
+HALVINGS = 24
+
+
+def _cells(lat: str, lon: str, width: float) -> list[Column]:
+    return [F.floor(F.col(lat) / F.lit(width)).alias("_y"), F.floor(F.col(lon) / F.lit(width)).alias("_x")]
+
+
 def nearest_geo(a: DataFrame, b: DataFrame, a_id: str, b_id: str, max_deg: float = 0.5) -> DataFrame:
     """Nearest b within max_deg (degree distance), the smallest id on ties.
 
-    Both sides go to grid cells as wide as the limit; each a visits its nine cells.
+    Both sides go to grid cells; each a visits its nine cells, which hold every point nearer than a cell is wide. The cells are
+    so narrow at first that few points share one; an a that finds none that near goes on to cells twice as wide, up to the
+    limit. An a thus meets a few points, however many there are within the limit.
     """
-    cell = lambda x: F.floor(F.col(x) / F.lit(max_deg))
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    left = (
-        a.select(a_id, F.col("lat").alias("_la"), F.col("lon").alias("_lo"), cell("lat").alias("_y"), cell("lon").alias("_x"))
-        .withColumn("_dy", F.explode(step)).withColumn("_dx", F.explode(step))
-        .select(a_id, "_la", "_lo", (F.col("_y") + F.col("_dy")).alias("_y"), (F.col("_x") + F.col("_dx")).alias("_x"))
-    )
     # sites at one coordinate are one point, so a crowded cell stays small
-    pts = b.groupBy(F.col("lat").alias("_lb"), F.col("lon").alias("_ob")).agg(F.min(b_id).alias(b_id))
-    pts = pts.withColumn("_y", F.floor(F.col("_lb") / max_deg)).withColumn("_x", F.floor(F.col("_ob") / max_deg))
+    pts = settle(b.where("lat is not null and lon is not null").groupBy(F.col("lat").alias("_lb"), F.col("lon").alias("_ob")).agg(F.min(b_id).alias(b_id)))
+    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     d2 = (F.col("_lb") - F.col("_la")) * (F.col("_lb") - F.col("_la")) + (F.col("_ob") - F.col("_lo")) * (F.col("_ob") - F.col("_lo"))
-    j = left.join(pts, ["_y", "_x"]).withColumn("_d", F.sqrt(d2)).where(F.col("_d") < max_deg)
-    m = j.groupBy(a_id).agg(F.min(F.struct(F.col("_d").alias("d"), F.col(b_id).alias("b"))).alias("_m"))
+    halved = 0
+    while halved < HALVINGS:
+        fullest = pts.groupBy(*_cells("_lb", "_ob", max_deg / 2**halved)).count().agg(F.max("count")).first()[0]
+        if (fullest or 0) <= CELL_POINTS:
+            break
+        halved += 1
+    open_, found = a.select(a_id, F.col("lat").alias("_la"), F.col("lon").alias("_lo")), []
+    for k in range(halved, -1, -1):
+        width = max_deg / 2**k
+        left = open_.select("*", *_cells("_la", "_lo", width)).withColumn("_dy", F.explode(step)).withColumn("_dx", F.explode(step))
+        left = left.withColumn("_y", F.col("_y") + F.col("_dy")).withColumn("_x", F.col("_x") + F.col("_dx")).drop("_dy", "_dx")
+        # a hair less than the width, as the cell numbers are rounded; the limit itself holds as it is
+        near = F.col("_d") < (width if k == 0 else width * 0.999)
+        j = left.join(pts.select("*", *_cells("_lb", "_ob", width)), ["_y", "_x"]).withColumn("_d", F.sqrt(d2)).where(near)
+        m = j.groupBy(a_id).agg(F.min(F.struct(F.col("_d").alias("d"), F.col(b_id).alias("b"))).alias("_m"))
+        if k:
+            m = settle(m)
+            open_ = settle(open_.join(m.select(a_id), a_id, "left_anti"))
+        found.append(m)
+    m = reduce(lambda x, y: x.union(y), found).groupBy(a_id).agg(F.min("_m").alias("_m"))
     return m.select(a_id, F.col("_m.b").alias(b_id), F.col("_m.d").alias("distance"))
 
 
