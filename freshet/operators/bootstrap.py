@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.functions.basics import settle
 from freshet.operators import metrics as M
 from freshet.operators.blocks import average_rank, quantiles
-from freshet.operators.sampling import bootstrap_draws
+from freshet.operators.sampling import bootstrap_rows
 
 
 def site_sums(df: DataFrame, site: str, y: str, p: str) -> DataFrame:
@@ -31,8 +31,7 @@ def site_sums(df: DataFrame, site: str, y: str, p: str) -> DataFrame:
 def site_bootstrap(df: DataFrame, site: str, y: str, p: str, seed: int, reps: int, hi: float = 0.5) -> DataFrame:
     """One row per replicate. Only per-site sums are resampled, never readings."""
     s = settle(site_sums(df, site, y, p))
-    times = bootstrap_draws(s, site, seed, reps).groupBy("rep", site).agg(F.count("*").alias("m"))
-    d = times.join(s, site)
+    d = bootstrap_rows(s, site, seed, reps, counted=True)
     pool = lambda x: F.sum(F.col("m") * F.col(x))
     g = d.groupBy("rep").agg(
         *[pool(x).alias(x) for x in ("c", "sy", "sp", "syy", "spp", "syp", "lc", "l1", "l2", "lse")],
@@ -48,12 +47,11 @@ def site_bootstrap(df: DataFrame, site: str, y: str, p: str, seed: int, reps: in
         (1 - F.col("lse") / (F.col("l2") - F.col("l1") * F.col("l1") / F.col("lc"))).alias("log_nse"),
         (1 - F.sqrt((rho - 1) * (rho - 1) + (alpha - 1) * (alpha - 1) + (beta - 1) * (beta - 1))).alias("kge"),
     )
-    return g.join(quantiles(d, ["rep"], {"med_r2": ("r2", 0.5), "med_mape": ("mape", 0.5), "med_rho": ("rho", 0.5)}), "rep")
+    return g.join(quantiles(d, ["rep"], {"med_r2": ("r2", 0.5), "med_mape": ("mape", 0.5), "med_rho": ("rho", 0.5)}, few=True), "rep")
 
 
 def median_by_group(values: DataFrame, site: str, by: list[str], col: str, seed: int, reps: int) -> DataFrame:
     """Interval of the per-group median over the distinct sites of each replicate."""
     v = settle(values.where(F.col(col).isNotNull()))
-    uniq = bootstrap_draws(v, site, seed, reps).distinct()
-    m = quantiles(uniq.join(v, site), ["rep", *by], {"_m": (col, 0.5)})
+    m = quantiles(bootstrap_rows(v, site, seed, reps, counted=True), ["rep", *by], {"_m": (col, 0.5)}, few=True)
     return m.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from freshet.functions.basics import draw, micros, value_block, with_scalar
+from freshet.functions.basics import dealt, draw, micros, settle, value_block, with_scalar
 from freshet.operators.blocks import by_time, ordered, quantiles
 
 
@@ -14,22 +14,28 @@ def number_entities(df: DataFrame, key: str, seed: int | str, out: str = "idx",
     return ordered(d, by or [], ["_d", key], F.floor(F.col("_d") / F.lit(1 << 22)), number=out, total=total).drop("_d")
 
 
-def bootstrap_draws(entities: DataFrame, key: str, seed: int | str, reps: int) -> DataFrame:
-    """(rep, key) rows: every replicate draws as many entities as there are, with repeats.
+def bootstrap_rows(entities: DataFrame, key: str, seed: int | str, reps: int, counted: bool = False) -> DataFrame:
+    """The rows of ``entities`` with ``rep``: every replicate draws as many entities as there are, with repeats.
 
     Draw d of replicate b picks entity number draw(seed, b, d) mod n. Each entity row
-    emits its own draw numbers, so nothing is generated on the driver.
+    emits its own draw numbers, so nothing is generated on the driver. Draws travel as two numbers and meet the far smaller table of
+    numbered entities by its hash; which side that is is said here, as estimates take the draws for the smaller one. With
+    ``counted`` an entity comes once a replicate, with its number of draws ``m``.
     """
-    num = number_entities(entities.select(key).distinct(), key, seed)
-    slots = num.select("idx", "n_all", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    num = settle(number_entities(entities.select(key).distinct(), key, seed))
+    rows = num.count() * reps
+    slots = dealt(num.select("idx", "n_all"), rows=rows).select("idx", "n_all", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     picks = slots.select("rep", (draw(F.lit(str(seed)), "rep", "idx") % F.col("n_all") + 1).alias("pick"))
-    return picks.join(num.select(F.col("idx").alias("pick"), key), "pick").select("rep", key)
+    picks = dealt(picks, "pick", rows=rows)
+    if counted:
+        picks = picks.groupBy("pick", "rep").agg(F.count(F.lit(1)).alias("m"))
+    own = num.select(F.col("idx").alias("pick"), key).join(entities, key)
+    return picks.join(own.hint("shuffle_hash"), "pick").drop("pick")
 
 
 def bootstrap_sums(entities: DataFrame, key: str, seed: int | str, reps: int, aggs: list[Column]) -> DataFrame:
     """One row per replicate: aggregates over the drawn entity rows."""
-    d = bootstrap_draws(entities, key, seed, reps).join(entities, key)
-    return d.groupBy("rep").agg(*aggs)
+    return bootstrap_rows(entities, key, seed, reps).groupBy("rep").agg(*aggs)
 
 
 def interval(reps: DataFrame, cols: list[str], lo: float = 0.025, hi: float = 0.975) -> DataFrame:
@@ -43,8 +49,8 @@ def interval(reps: DataFrame, cols: list[str], lo: float = 0.025, hi: float = 0.
 def bootstrap_median(values: DataFrame, key: str, value: str, seed: int | str, reps: int) -> DataFrame:
     """Median with a 95 % interval from entity resampling."""
     v = values.where(F.col(value).isNotNull()).select(key, value)
-    d = bootstrap_draws(v, key, seed, reps).join(v, key)
-    per = quantiles(d, ["rep"], {"median": (value, 0.5)})
+    v = settle(v)
+    per = quantiles(bootstrap_rows(v, key, seed, reps), ["rep"], {"median": (value, 0.5)}, few=True)
     return with_scalar(interval(per, ["median"]), quantiles(v, [], {"median": (value, 0.5)}))
 
 

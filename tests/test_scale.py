@@ -194,3 +194,38 @@ def test_time_forms(spark, clock):
 
     df = spark.createDataFrame([("2024-05-01", clock, "EST")], "d string, c string, z string")
     assert df.select(N.to_utc("d", "c", "z").alias("t")).first().t is not None
+
+
+def test_draws_are_never_the_broadcast_side(spark):
+    """Behind an explode Spark takes the draws for the smaller table; replicates times entities then went through the driver."""
+    from freshet.operators import bootstrap as B, sampling as S
+
+    v = spark.range(300).selectExpr("id as site", "id % 7 as label", "cast(id * 37 % 101 as double) as v")
+    drawn = S.bootstrap_rows(v, "site", 42, 50)
+    p = plan(drawn)
+    assert "ShuffledHashJoin" in p and "Generate" not in p[p.find("BroadcastExchange") if "BroadcastExchange" in p else len(p) :]
+    assert drawn.groupBy("rep").count().select("count").distinct().collect()[0][0] == 300
+    counted = S.bootstrap_rows(v, "site", 42, 50, counted=True)
+    assert counted.agg(F.sum("m")).first()[0] == 300 * 50 and counted.groupBy("rep", "site").count().where("count > 1").isEmpty()
+    one = B.median_by_group(v, "site", ["label"], "v", 42, 50).collect()
+    picked = drawn.select("rep", "site", "label", "v").distinct().toPandas().groupby(["label", "rep"]).v.median().groupby("label").quantile([0.025, 0.975])
+    assert len(one) == 7 and all((r.lo, r.hi) == (pytest.approx(picked[r.label, 0.025]), pytest.approx(picked[r.label, 0.975])) for r in one)
+
+
+def test_nearest_point_against_a_loop_and_few_pairs(spark, monkeypatch):
+    from freshet.operators import joins as J
+
+    monkeypatch.setattr(J, "CELL_POINTS", 4)
+    rng = np.random.default_rng(8)
+    # a dense crowd, a thin rest, ties and points out of reach
+    b = np.concatenate([np.round(rng.normal(10, 0.02, (400, 2)), 4), rng.uniform(-5, 30, (60, 2)), [[3.0, 3.0], [3.0, 4.0]]])
+    a = np.concatenate([np.round(rng.normal(10, 0.05, (60, 2)), 4), rng.uniform(-20, 45, (60, 2)), [[3.0, 3.5]]])
+    frame = lambda x, k: spark.createDataFrame([(i, float(p), float(q)) for i, (p, q) in enumerate(x)], f"{k} long, lat double, lon double")
+    got = {r.u: (r.w, r.distance) for r in J.nearest_geo(frame(a, "u"), frame(b, "w"), "u", "w", 2.0).collect()}
+    want = {}
+    for i, p in enumerate(a):
+        d = np.sqrt(((b - p) * (b - p)).sum(1))
+        if d.min() < 2.0:
+            want[i] = (int(np.argmin(d)), d.min())
+    assert set(got) == set(want) and 60 < len(want) < len(a)
+    assert all(got[i][0] == w and got[i][1] == pytest.approx(d) for i, (w, d) in want.items())
