@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from freshet.functions.basics import micros
+from freshet.functions.basics import micros, settle
 from freshet.operators.blocks import ordered
 from freshet.operators.windows import core, halo, rolling_min_columns, sessionize
 
@@ -28,10 +28,10 @@ def detect(
     h = h.withColumn("_up", F.coalesce(F.col("_q") > F.col("_base") * rise, F.lit(False)))
     h = h.withColumn("_was", F.coalesce(F.lag("_up").over(w), F.lit(False)))
     flips = core(h).where((F.col("_up") != F.col("_was")) | (F.col("_up") & (F.col("_rn") == F.col("_n"))))
-    edge = flips.select(
+    edge = settle(flips.select(
         site, "_t", "_time", "_base", (F.col("_up") & ~F.col("_was")).alias("_start"),
         F.when(~F.col("_up") | (F.col("_rn") == F.col("_n")), F.col("_time")).alias("_stop"),
-    )
+    ))  # few rows, which every step below reads several times
     e_blk = F.floor(F.col("_t") / F.lit(int(12 * slice_s * 1e6)))
     ev = ordered(edge, [site], ["_t"], e_blk, follow={"end": F.col("_stop")}).where("_start")
     ev = ev.select(site, "_t", F.col("_time").alias("start"), F.coalesce("end", "_stop").alias("end"), F.col("_base").alias("baseflow"))
