@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from freshet.functions.basics import by_keys, c, clip, settle, spread_join
+from freshet.functions.basics import by_keys, c, clip, spread_join, stored
 from freshet.operators import metrics as M
 from freshet.operators.blocks import quantiles
 
@@ -63,7 +63,7 @@ def rated(flow: str) -> Column:
 
 def load_metrics(df: DataFrame, by: list[str], ref: str, pred: str, min_rows: int = 5) -> DataFrame:
     """Skill of predicted against reference loads on rows where both exist."""
-    d = df.where(F.col(ref).isNotNull() & F.col(pred).isNotNull())
+    d = stored(df.where(F.col(ref).isNotNull() & F.col(pred).isNotNull()).select(*by, ref, pred))  # sums, medians and ranks each read it
     names = ["n", "r2", "kge", "pbias", "total_ratio", "rmse"]
     g = d.groupBy(*by).agg(*M.base_sums(ref, pred), *M.log_sums(ref, pred, shift=1.0))
     rep = M._report()
@@ -91,7 +91,7 @@ def timescales(df: DataFrame, site: str, t: str, obs: str, pred: str) -> DataFra
 def compare(daily_loads: DataFrame, site: str, day: str, ref: str, methods: list[str], month_share: float = 0.8, year_days: int = 292) -> DataFrame:
     """Report per site, scale (daily, transport, monthly, annual) and method."""
     cols = [ref, *methods]
-    daily_loads = settle(daily_loads.select(site, day, *cols))
+    daily_loads = stored(daily_loads.select(site, day, *cols))
     d = daily_loads.select(site, *cols)
     scales = {
         "daily": d, "transport": d.where(F.col(ref) >= 1.0),
@@ -100,5 +100,5 @@ def compare(daily_loads: DataFrame, site: str, day: str, ref: str, methods: list
     }
     u = reduce(lambda a, b: a.unionByName(b), [x.withColumn("scale", F.lit(n)) for n, x in scales.items()])
     pairs = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("pred")) for m in methods])
-    long = settle(u.select(site, "scale", F.col(ref).alias("ref"), F.inline(pairs)))  # sums, medians and ranks each read it
+    long = u.select(site, "scale", F.col(ref).alias("ref"), F.inline(pairs))
     return load_metrics(long, [site, "scale", "method"], "ref", "pred")
