@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from freshet.functions.basics import dealt, settle, with_scalar
+from freshet.functions.basics import dealt, settle, stored, with_scalar
 from freshet.operators import sampling as S
 from freshet.operators.blocks import medians, quantiles
 
@@ -47,7 +47,8 @@ def curve(per_site: DataFrame, site: str, cols: list[str], by: list[str], boot_c
 
 
 def effort(scores: DataFrame, by: list[str], site: str, col: str) -> DataFrame:
-    """Median and quartiles of all trial scores per calibration size."""
+    """Median and quartiles of all trial scores per calibration size; scores are made once for both passes over them."""
+    scores = stored(scores.select(*by, site, col))
     q = quantiles(scores, by, {f"{col}_median": (col, 0.5), f"{col}_q25": (col, 0.25), f"{col}_q75": (col, 0.75)})
     return q.join(scores.groupBy(*by).agg(F.countDistinct(site).alias("n_sites")), by)
 
