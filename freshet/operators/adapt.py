@@ -36,12 +36,16 @@ def curve(per_site: DataFrame, site: str, cols: list[str], by: list[str], boot_c
     n = per_site.groupBy(*by).agg(F.count("*").alias("n_sites"))
     v = per_site.where(F.col(boot_col).isNotNull()).select(site, *by, boot_col)
     num = settle(S.number_in(v, by, [F.lit(str(seed)), site], site))
-    rows = num.count() * reps
-    slots = dealt(num.select(*by, "_m", "_rn"), rows=rows).select(*by, "_m", "_rn", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
-    pick = S.draw(F.lit(str(seed)), "rep", "_rn") % F.col("_m") + 1
-    # the numbered values are the small side, whatever the estimates say
-    got = dealt(slots.select(*by, "rep", pick.alias("_rn")), *by, "_rn", rows=rows).join(num.select(*by, "_rn", boot_col).hint("shuffle_hash"), [*by, "_rn"])
-    meds = quantiles(got, [*by, "rep"], {"_x": (boot_col, 0.5)}, few=True)
+    rows, most = num.agg(F.count(F.lit(1)), F.max("_m")).first()
+    if (most or 0) <= S.HELD:
+        meds = S.resampled_medians(num, by, "_rn", "_m", boot_col, seed, reps, most or 0)
+    else:
+        rows *= reps
+        slots = dealt(num.select(*by, "_m", "_rn"), rows=rows).select(*by, "_m", "_rn", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+        pick = S.draw(F.lit(str(seed)), "rep", "_rn") % F.col("_m") + 1
+        # the numbered values are the small side, whatever the estimates say
+        got = dealt(slots.select(*by, "rep", pick.alias("_rn")), *by, "_rn", rows=rows).join(num.select(*by, "_rn", boot_col).hint("shuffle_hash"), [*by, "_rn"])
+        meds = quantiles(got, [*by, "rep"], {"_x": (boot_col, 0.5)}, few=True)
     ci = meds.groupBy(*by).agg(F.percentile("_x", F.lit(0.025)).alias("ci_lo"), F.percentile("_x", F.lit(0.975)).alias("ci_hi"))
     return m.join(n, by).join(ci, by, "left")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from freshet.functions.basics import settle
 from freshet.operators import metrics as M
 from freshet.operators.blocks import average_rank, quantiles
-from freshet.operators.sampling import bootstrap_rows
+from freshet.operators.sampling import HELD, bootstrap_rows, number_entities, resampled_medians
 
 
 def site_sums(df: DataFrame, site: str, y: str, p: str) -> DataFrame:
@@ -53,5 +53,11 @@ def site_bootstrap(df: DataFrame, site: str, y: str, p: str, seed: int, reps: in
 def median_by_group(values: DataFrame, site: str, by: list[str], col: str, seed: int, reps: int) -> DataFrame:
     """Interval of the per-group median over the distinct sites of each replicate."""
     v = settle(values.where(F.col(col).isNotNull()))
-    m = quantiles(bootstrap_rows(v, site, seed, reps, counted=True), ["rep", *by], {"_m": (col, 0.5)}, few=True)
+    num = settle(number_entities(v.select(site).distinct(), site, seed))
+    most = num.count()
+    if most <= HELD:
+        own = v.join(num, site).dropna(subset=by)  # rows without a key are in no group
+        m = resampled_medians(own, by, "idx", "n_all", col, seed, reps, most, once=True).withColumnRenamed("_x", "_m")
+    else:
+        m = quantiles(bootstrap_rows(v, site, seed, reps, counted=True), ["rep", *by], {"_m": (col, 0.5)}, few=True)
     return m.groupBy(*by).agg(F.percentile("_m", F.lit(0.025)).alias("lo"), F.percentile("_m", F.lit(0.975)).alias("hi"))

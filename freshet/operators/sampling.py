@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from freshet.functions.basics import dealt, draw, micros, settle, value_block, with_scalar
+from freshet.functions.draws import draws
 from freshet.operators.blocks import by_time, ordered, quantiles
 
 
@@ -33,6 +38,78 @@ def bootstrap_rows(entities: DataFrame, key: str, seed: int | str, reps: int, co
     return picks.join(own.hint("shuffle_hash"), "pick").drop("pick")
 
 
+#: Entities of one group that a task holds while it draws from them; draws and replicates it holds at once, and entities of one packed row.
+HELD = 1 << 22
+DRAWN = 1 << 24
+REPS = 32
+PACKED = 1 << 16
+
+
+def _weighted_middle(v: np.ndarray, times: np.ndarray) -> float | None:
+    """Median of ascending values that come so many times each, as ``quantiles`` interpolates it; None where none comes."""
+    upto = np.cumsum(times)
+    n = int(upto[-1]) if len(upto) else 0
+    if not n:
+        return None
+    lo, hi = v[np.searchsorted(upto, [(n - 1) // 2, n // 2], "right")]
+    return float(lo + (hi - lo) * ((n - 1) / 2 - (n - 1) // 2))
+
+
+def resampled_medians(num: DataFrame, by: list[str], idx: str, total: str, col: str, seed: int | str, reps: int, most: int, once: bool = False) -> DataFrame:
+    """``(*by, rep, _x)``: the median of ``col`` over the entities that each replicate draws.
+
+    ``num`` has the number ``idx`` (1 to ``total``, ``most`` at most) of the entity that a row belongs to. Draw d of replicate b picks number
+    draw(seed, b, d) mod total, as often as there are entities; with ``once`` a picked entity counts once. A task has some replicates: it makes
+    their draws once for all groups, and groups come to it one after the other as packed columns, so no draw is ever a row.
+    """
+    some = max(1, min(REPS, DRAWN // max(1, most)))
+    chunks = -(-reps // some)
+    packs = num.select(*by, F.col(total).cast("long").alias("_m"), F.floor(F.col(idx) / PACKED).alias("_b"), F.col(idx).cast("int").alias("_i"), F.col(col).cast("double").alias("_v"))
+    packs = packs.groupBy(*by, "_m", "_b").agg(F.collect_list("_i").alias("_is"), F.collect_list("_v").alias("_vs"))
+    packs = packs.withColumn("_g", F.xxhash64(*by, "_m")).select("*", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_c"))
+    sent = packs.repartition(4 * chunks, "_c").sortWithinPartitions("_c", *by, "_m", "_b").select("_c", "_g", "_m", *by, "_is", "_vs")
+    kinds = {f.name: f.dataType.simpleString() for f in num.schema.fields}
+    names = [*by, "rep", "_x"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict = {}
+
+        def counts(c: int, m: int) -> np.ndarray:
+            """How often each replicate of the chunk draws each entity of a group of this size."""
+            if made.get("c") != c:
+                keys = [b"%d" % k for k in range(c * some + 1, min((c + 1) * some, reps) + 1)]
+                made.update(c=c, m=None, keys=keys, draws=np.ascontiguousarray(draws(str(seed).encode(), keys, [b"%d" % d for d in range(1, most + 1)]).T))
+            if made["m"] != m:
+                made.update(m=m, counts=[np.bincount(d[:m] % np.uint32(m), minlength=m) for d in made["draws"]])
+            return made["counts"]
+
+        def done(c: int, m: int, head: pa.RecordBatch, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            i, v = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(v, kind="stable")
+            i, v = i[order] - 1, v[order]
+            got = [_weighted_middle(v, (n[i] > 0) if once else n[i]) for n in counts(c, m)]
+            here = [k for k, x in enumerate(got) if x is not None]
+            zero = pa.array(np.zeros(len(here), np.int64))
+            cols = [head.column(k).take(zero) for k in by]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([c * some + 1 + k for k in here], pa.int32()), pa.array([got[k] for k in here], pa.float64())], names=names)
+
+        last, head, parts = None, None, []
+        for b in batches:
+            keys = list(zip(*[b.column(k).to_pylist() for k in ("_c", "_g", "_m")]))
+            for r, key in enumerate(keys):
+                if key != last and parts:
+                    yield done(last[0], last[2], head, parts)
+                    parts = []
+                if not parts:
+                    last, head = key, b.slice(r, 1)
+                one = b.slice(r, 1)
+                parts.append(tuple(one.column(k).flatten().to_numpy() for k in ("_is", "_vs")))
+        if parts:
+            yield done(last[0], last[2], head, parts)
+
+    return sent.mapInArrow(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in by], "rep int", "_x double"]))
+
+
 def bootstrap_sums(entities: DataFrame, key: str, seed: int | str, reps: int, aggs: list[Column]) -> DataFrame:
     """One row per replicate: aggregates over the drawn entity rows."""
     return bootstrap_rows(entities, key, seed, reps).groupBy("rep").agg(*aggs)
