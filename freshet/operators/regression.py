@@ -184,25 +184,29 @@ def ridge_leave_out(grams: DataFrame, key: str, d: int, alpha: float = 1.0) -> D
 
 #: Folds whose coefficients are held at once while all rows are scored by them.
 FOLDS = 4096
+#: Terms of the series that sums over all rows are expanded in, at most, and the part of the sum it may leave out.
+TERMS = 1024
+EXACT = 1e-15
 
 
-def fold_factors(rows: DataFrame, fits: DataFrame, key: str, names: list[str], kind: str, lam: float | None) -> DataFrame:
-    """``(key, factor)``: each fold's bias correction over its training rows, all but its own.
-
-    log1p: mean of exp(residual); other targets: mean observed over mean predicted in native units. Every row is scored by every
-    fold, as the definition asks, in tasks that add up one number pair a fold; the fold's own rows are then
-    taken off. Folds go ``FOLDS`` at a time, so what is sent out has a fixed size.
-    """
-    sc, back = rows.sparkSession.sparkContext, X.inverse_array(kind, lam)
-    folds = settle(fits.select(key, "coef"))
-    kind_of = dict(folds.dtypes)[key]
-    keys = [r[0] for r in folds.select(key).orderBy(key).collect()]  # one number a fold
+def _sums_of(kind: str, lam: float | None) -> Callable:
+    """What a row gives to the two sums of a fold, from its target, native value and prediction."""
+    back = X.inverse_array(kind, lam)
 
     def sums(yt: np.ndarray, y: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if kind == "log1p":
             return np.exp(yt - p), np.ones_like(p)
         return np.broadcast_to(y, p.shape), back(p)
 
+    return sums
+
+
+def _scored_by_each(rows: DataFrame, folds: DataFrame, key: str, names: list[str], kind: str, lam: float | None) -> DataFrame | None:
+    """``(key, a, b)``: every row scored by every fold, ``FOLDS`` of them at a time, in tasks that add up one number pair a fold."""
+    sc, sums = rows.sparkSession.sparkContext, _sums_of(kind, lam)
+    kind_of = dict(folds.dtypes)[key]
+    keys = [r[0] for r in folds.select(key).orderBy(key).collect()]  # one number a fold
+
     def total(mat: np.ndarray) -> Callable:
         held = sc.broadcast(mat)
 
@@ -224,7 +228,142 @@ def fold_factors(rows: DataFrame, fits: DataFrame, key: str, names: list[str], k
         run = total(np.array([coefs[k] for k in some]))
         got = rows.mapInPandas(run, "i long, a double, b double").groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         out.append(got.select(F.get(F.lit(some).cast(f"array<{kind_of}>"), F.col("i").cast("int")).alias(key), "a", "b"))
-    return reduce(lambda x, z: x.unionByName(z), out)
+    return reduce(lambda x, z: x.unionByName(z), out) if out else None
+
+
+def _left_out(kind: str, lam: float | None, terms: int, radius: float) -> float:
+    """Bound of what the series of a row's score leaves out after the term of this degree, relative to the score, if predictions move by ``radius`` at most."""
+    k = terms + 1
+    if kind == "log1p" or not lam:
+        return radius**k / math.factorial(k) * math.exp(2 * radius)
+    power, rho = 1.0 / lam, abs(lam) * radius * (1.0 if lam > 0 else 2.0)  # scores are expanded where lam p + 1 is 1, or 1 / 2, at least
+    binom = math.prod(abs(power - j) / (j + 1) for j in range(k))
+    return binom * rho**k * max((1 + rho) ** abs(power), (1 - rho) ** -(k + abs(power))) if rho < 1 else math.inf
+
+
+def _reach(kind: str, lam: float | None, terms: int) -> float:
+    """The largest radius at which the series may end with this degree."""
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if _left_out(kind, lam, terms, mid) <= EXACT else (lo, mid)
+    return lo
+
+
+def _derivatives(kind: str, lam: float | None, yt: np.ndarray, p: np.ndarray, terms: int) -> Iterator[np.ndarray]:
+    """A row's score and its derivatives in the prediction, each over the factorial of its order."""
+    if kind == "log1p" or not lam:
+        sign = -1.0 if kind == "log1p" else 1.0
+        e = np.exp(yt - p) if kind == "log1p" else np.exp(p)
+        for k in range(terms + 1):
+            yield (e if kind == "log1p" or k else np.expm1(p)) * (sign**k / math.factorial(k))
+        return
+    s, binom = lam * p + 1, 1.0
+    for k in range(terms + 1):
+        yield binom * lam**k * s ** (1.0 / lam - k) - (0.0 if k else 1.0)
+        binom *= (1.0 / lam - k) / (k + 1)
+
+
+def _powers(x: np.ndarray, terms: int) -> list[np.ndarray]:
+    """For each degree the products of that many columns: all monomials of a row of values, and in the same order those of another one."""
+    out = [np.ones((len(x), 1))]
+    last = [(0, 0)] if x.shape[1] else []  # (first column that may follow, place)
+    for _ in range(terms):
+        cols, places = [], []
+        for low, place in last:
+            for j in range(low, x.shape[1]):
+                cols.append(out[-1][:, place] * x[:, j])
+                places.append((j, len(cols) - 1))
+        out.append(np.stack(cols, 1) if cols else np.ones((len(x), 0)))
+        last = places
+    return out
+
+
+def _orders(width: int, terms: int) -> list[np.ndarray]:
+    """How many orders of its factors each product of ``_powers`` stands for."""
+    out = []
+    for k, names in enumerate(_monomials(width, terms)):
+        out.append(np.array([math.factorial(k) / math.prod(math.factorial(m.count(j)) for j in set(m)) for m in names]))
+    return out
+
+
+def _monomials(width: int, terms: int) -> list[list[tuple[int, ...]]]:
+    """The columns in each product of ``_powers``."""
+    out: list[list[tuple[int, ...]]] = [[()]]
+    for _ in range(terms):
+        out.append([(*m, j) for m in out[-1] for j in range(m[-1] if m else 0, width)])
+    return out
+
+
+def fold_factors(rows: DataFrame, fits: DataFrame, key: str, names: list[str], kind: str, lam: float | None) -> DataFrame:
+    """``(key, a, b)``: the sums of each fold's bias correction over all rows; the fold's own rows are then taken off.
+
+    log1p: mean of exp(residual); other targets: mean observed over mean predicted in native units. Every row counts for every fold, as the
+    definition asks. Folds differ little from each other, so a row's score is a power series in the difference of a fold's coefficients from the middle
+    ones, and the sum over rows needs only the sums of its terms, which one pass over the rows makes. The series ends where a bound on its
+    rest (``_left_out``) is below the rounding of a sum. Folds too far from the middle, and rows whose score may
+    be cut off (at zero, or above) for some fold, are scored one by one.
+    """
+    folds = settle(fits.select(key, "coef"))
+    width, no = len(names), folds.select(key, F.lit(0.0).alias("a"), F.lit(0.0).alias("b")).where("false")
+    mid = folds.agg(*[F.percentile_approx(F.col("coef")[i], 0.5, 1000).alias(f"w{i}") for i in range(width)], F.count(F.lit(1)).alias("n")).first()
+    top = rows.agg(*[F.max(F.abs(z)).alias(f"s{i}") for i, z in enumerate(names)], F.sum("_native").alias("y"), F.count(F.lit(1)).alias("c")).first()
+    terms = max([k for k in range(1, 13) if math.comb(k + width, width) <= TERMS], default=0)
+    plain = kind in ("log1p", "boxcox") and terms and mid["n"] and top["c"] and all(x is not None and math.isfinite(x) for x in (*mid, *top))
+    if not plain:
+        return _scored_by_each(rows, folds, key, names, kind, lam) or no
+    w0, scale = np.array([mid[f"w{i}"] for i in range(width)]), np.array([top[f"s{i}"] for i in range(width)])
+    moved = sum((F.abs(F.col("coef")[i] - float(w0[i])) * float(scale[i]) for i in range(width)), F.lit(0.0))
+    folds = folds.withColumn("_far", F.coalesce(moved, F.lit(float("inf"))))
+    reach = _reach(kind, lam, terms)
+    near = folds.where(F.col("_far") <= reach)
+    radius = near.agg(F.max("_far")).first()[0]
+    if radius is None:
+        return _scored_by_each(rows, folds, key, names, kind, lam) or no
+    terms = next(k for k in range(1, terms + 1) if _left_out(kind, lam, k, radius) <= EXACT or k == terms)
+    rows = rows.withColumn("_p0", sum((F.col(z) * float(w0[i]) for i, z in enumerate(names)), F.lit(0.0)))
+    calm, cut = rows, None
+    if kind == "boxcox" and lam:
+        slack = radius * (1 + 1e-9) + 1e-9
+        high = lambda p: F.pow(p * F.lit(float(lam)) + 1, F.lit(1.0 / lam)) - 1
+        inside = (F.col("_p0") > slack) & (F.col("_p0") * float(lam) + 1 >= 0.5) & (high(F.col("_p0") + F.lit(slack)) < X.NATIVE_MAX)
+        inside = F.coalesce(inside, F.lit(False))
+        calm, cut = rows.where(inside), rows.where(~inside & ~F.coalesce(F.col("_p0") < -slack, F.lit(False)))
+        cut = None if cut.isEmpty() else settle(cut)
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = None
+        for pdf in batches:
+            for i in range(0, len(pdf), 1024):
+                one = pdf.iloc[i : i + 1024]
+                z = one[names].to_numpy() / np.where(scale > 0, scale, 1.0)
+                got = [d @ x for d, x in zip(_derivatives(kind, lam, one["_y"].to_numpy(), one["_p0"].to_numpy(), terms), _powers(z, terms))]
+                found = got if found is None else [p + q for p, q in zip(found, got)]
+        if found is not None:
+            flat = np.concatenate(found)
+            yield pd.DataFrame({"i": np.arange(len(flat)), "m": flat})
+
+    count = sum(map(len, _monomials(width, terms)))
+    sums_ = np.zeros(count)
+    for r in calm.mapInPandas(moments, "i long, m double").groupBy("i").agg(F.sum("m").alias("m")).collect():  # at most TERMS numbers
+        sums_[r[0]] = r[1]
+    sums_ *= np.concatenate(_orders(width, terms))
+    total, c_ = float(top["y"]), float(top["c"])
+
+    def series(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(0, len(pdf), 1024):
+                one = pdf.iloc[i : i + 1024]
+                got = np.concatenate(_powers((np.stack(one["coef"]) - w0) * scale, terms), 1) @ sums_
+                a, b = (got, np.full(len(got), c_)) if kind == "log1p" else (np.full(len(got), total), got)
+                yield pd.DataFrame({key: one[key], "a": a, "b": b})
+
+    out = near.select(key, "coef").mapInPandas(series, f"{key} {dict(folds.dtypes)[key]}, a double, b double")
+    if cut is not None:
+        more = _scored_by_each(cut, near.select(key, "coef"), key, names, kind, lam).select(key, F.col("b").alias("_more"))
+        out = out.join(more, key).select(key, "a", (F.col("b") + F.col("_more")).alias("b"))
+    far = _scored_by_each(rows, folds.where(F.col("_far") > reach).select(key, "coef"), key, names, kind, lam)
+    return out if far is None else out.unionByName(far)
 
 
 def ridge_logo(
@@ -235,7 +374,7 @@ def ridge_logo(
 
     Missing numerics take the median of all rows before anything is summed, missing categories are a category of their own, rows
     without a target are left out, ``weight`` weighs rows in the fit. Coefficients come from sums, so no fold reads the
-    rows of other sites; the correction of sqrt does so too, the others go over the rows once (``fold_factors``).
+    rows of other sites; the correction of sqrt does so too, the others go over the rows in a fixed number of passes (``fold_factors``).
     Metrics per site in model and native space.
     """
     d = df.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
