@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from freshet.functions.basics import by_keys, c, clip, spread_join, stored
 from freshet.operators import metrics as M
-from freshet.operators.blocks import quantiles
 
 # fixed value: (mg/L) x (cubic feet per second) to short tons per day
 LOAD_FACTOR = 0.0027
@@ -70,9 +69,8 @@ def load_metrics(df: DataFrame, by: list[str], ref: str, pred: str, min_rows: in
     log_nse = 1 - F.col("_lsse") / F.greatest(F.col("_lv") * F.col("_ln"), F.lit(1e-10))
     g = g.select(*by, *[rep[x].alias(x) for x in names], log_nse.alias("log_nse")).where(F.col("n") >= min_rows)
     err = F.abs(F.col(pred) - F.col(ref)) / F.greatest(F.col(ref), F.lit(1e-3)) * 100
-    med = quantiles(d.select(*by, err.alias("_e")), by, {"median_error_pct": ("_e", 0.5)})
-    sp = M.spearman(d, by, ref, pred, "spearman")
-    return reduce(lambda a, b: by_keys(a, b, by, "left"), [med, sp], g)
+    sp = M.spearman(d, by, ref, pred, "spearman", {"median_error_pct": err})
+    return by_keys(g, sp.select(*by, "median_error_pct", "spearman"), by, "left")
 
 
 def timescales(df: DataFrame, site: str, t: str, obs: str, pred: str) -> DataFrame:
@@ -91,7 +89,8 @@ def timescales(df: DataFrame, site: str, t: str, obs: str, pred: str) -> DataFra
 def compare(daily_loads: DataFrame, site: str, day: str, ref: str, methods: list[str], month_share: float = 0.8, year_days: int = 292) -> DataFrame:
     """Report per site, scale (daily, transport, monthly, annual) and method."""
     cols = [ref, *methods]
-    daily_loads = stored(daily_loads.select(site, day, *cols))
+    # rows of a site and year lie together, so every sum that follows is nearly done before it is shuffled
+    daily_loads = stored(daily_loads.select(site, day, *cols).repartition(site, F.year(day)))
     d = daily_loads.select(site, *cols)
     scales = {
         "daily": d, "transport": d.where(F.col(ref) >= 1.0),
